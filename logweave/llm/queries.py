@@ -7,14 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
+from .dart_minhash import op2_near_dedup
+from .minhash import op10_fingerprints
+from .mixing import op8_mixing
 from .secret_scan import op9_secret_scan
+from .subword import op1_quality
+from .toxicity import op7_toxicity
+from .warc import OP3_SQL, op3_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_bpe": op4_bpe, "op9_secret_scan": op9_secret_scan}
+    return {
+        "op1_quality": op1_quality,
+        "op2_near_dedup": op2_near_dedup,
+        "op3_warc": op3_warc,
+        "op4_bpe": op4_bpe,
+        "op7_toxicity": op7_toxicity,
+        "op8_mixing": op8_mixing,
+        "op9_secret_scan": op9_secret_scan,
+        "op10_fingerprints": op10_fingerprints,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": OP3_SQL}
