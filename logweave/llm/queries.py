@@ -12,6 +12,7 @@ from .minhash import op10_fingerprints
 from .mixing import op8_mixing
 from .secret_scan import op9_secret_scan
 from .subword import op1_quality
+from .suffix_dedup import op6_suffix_dedup
 from .toxicity import op7_toxicity
 from .warc import OP3_SQL, op3_warc
 
@@ -24,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op2_near_dedup": op2_near_dedup,
         "op3_warc": op3_warc,
         "op4_bpe": op4_bpe,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_toxicity": op7_toxicity,
         "op8_mixing": op8_mixing,
         "op9_secret_scan": op9_secret_scan,
