@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import staged, table
 
 BLOCKS = 1024
 
@@ -83,36 +83,40 @@ def _order(*cols: Column | str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
-def copies(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", seed: int = 8, **target: float) -> DataFrame:
-    """docs with _tokens, _block and _copies: how often each row is taken. The driver gets one total for each source."""
-    name = F.coalesce(F.col(source).cast("string"), F.lit("\0null"))
-    sized = docs.withColumns({"_source": name, "_tokens": tokens(text), "_block": F.pmod(_order(F.col(key), seed=seed), F.lit(BLOCKS)).cast("int")})
+def copies(docs: DataFrame, size: Column, tie: Column, source: str = "source", key: str = "doc_id", seed: int = 8, **target: float) -> DataFrame:
+    """docs with _block and _copies: how often each row is taken. size is the tokens of a row, tie orders rows of one key.
+
+    The driver gets one total for each source; the only ordered sums are over the blocks of a source and, in the one block
+    of a source where its budget ends, over that block's rows."""
     spark = docs.sparkSession
-    totals = {r["_source"]: r["t"] for r in sized.groupBy("_source").agg(F.sum("_tokens").alias("t")).collect()}
-    _, weights, budgets = mixture(totals, **target)
-    plan = spark.createDataFrame([(k, weights[k], int(budgets[k] // v) if v else 1, int(budgets[k] % v) if v else 0) for k, v in totals.items()], "_source string, _weight double, _epochs long, _rest long")
-    # one row for each source and block: their running totals in the order of the last permutation
+    name = F.coalesce(F.col(source).cast("string"), F.lit("\0null"))
+    dealt = docs.withColumns({"_source": name, "_block": F.pmod(_order(F.col(key), seed=seed), F.lit(BLOCKS)).cast("int")})
+    sums = staged(dealt.groupBy("_source", "_block").agg(F.sum(size).alias("_held")), "mixing-blocks")
+    totals = {r["_source"]: r["t"] for r in sums.groupBy("_source").agg(F.sum("_held").alias("t")).collect()}
+    _, _, budgets = mixture(totals, **target)
+    plan = spark.createDataFrame([(k, int(budgets[k] // v) if v else 1, int(budgets[k] % v) if v else 0) for k, v in totals.items()], "_source string, _epochs long, _rest long")
     epoch = _order("_source", "_block", "_epochs", seed=seed + 1)
-    blocks = sized.groupBy("_source", "_block").agg(F.sum("_tokens").alias("b")).join(F.broadcast(plan), "_source")
-    before = F.coalesce(F.sum("b").over(W.partitionBy("_source").orderBy(epoch, "_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.withColumn("_room", F.col("_rest") - before).select("_source", "_block", "_epochs", "_room", "b")
-    placed = sized.join(blocks, ["_source", "_block"])
-    split = (F.col("_room") > 0) & (F.col("_room") < F.col("b"))
+    before = F.coalesce(F.sum("_held").over(W.partitionBy("_source").orderBy(epoch, "_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = sums.join(plan, "_source").withColumn("_room", F.col("_rest") - before).select("_source", "_block", "_epochs", "_room", "_held")
+    placed = dealt.join(blocks, ["_source", "_block"])
+    split = (F.col("_room") > 0) & (F.col("_room") < F.col("_held"))
+    whole = placed.where(~split).withColumn("_more", (F.col("_room") > 0) & (F.col("_room") >= F.col("_held")))
     inner = _order(F.col(key), F.col("_epochs"), seed=seed + 2)
-    whole = placed.where(~split).withColumn("_more", (F.col("_room") >= F.col("b")) & (F.col("_room") > 0))
-    run = F.sum("_tokens").over(W.partitionBy("_source").orderBy(inner, key, F.xxhash64(text)).rowsBetween(W.unboundedPreceding, 0))
-    part = placed.where(split).withColumn("_more", run <= F.col("_room"))  # at most one block of each source
-    return whole.unionByName(part).withColumn("_copies", (F.col("_epochs") + F.col("_more").cast("long")).cast("long"))
+    run = F.sum(size).over(W.partitionBy("_source").orderBy(inner, key, tie).rowsBetween(W.unboundedPreceding, 0))
+    part = placed.where(split).withColumn("_more", run <= F.col("_room"))
+    return whole.unionByName(part).withColumn("_copies", F.col("_epochs") + F.col("_more").cast("long")).select(*docs.columns, "_block", "_copies")
 
 
 def report(docs: DataFrame, **target: float) -> DataFrame:
     """Per row: doc_id, source, n_tokens, block and how often it is taken."""
-    return copies(docs.select("doc_id", "source", "text"), **target).select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_block").alias("block"), F.col("_copies").alias("copies"))
+    narrow = staged(docs.select("doc_id", "source", tokens().alias("n_tokens"), F.xxhash64("text").alias("_tie")), "mixing-rows")
+    return copies(narrow, F.col("n_tokens"), F.col("_tie"), **target).select("doc_id", "source", "n_tokens", F.col("_block").alias("block"), F.col("_copies").alias("copies"))
 
 
 def mixed(docs: DataFrame, **target: float) -> DataFrame:
     """docs with every row as often as the mixture takes it."""
-    return copies(docs, **target).where("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    taken = copies(docs, tokens(), F.xxhash64("text"), **target).where("_copies > 0")
+    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
 #: Documents of the smallest source are taken twice at most, all others less often, and each at least once.

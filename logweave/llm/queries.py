@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
 from .dart_minhash import op2_near_dedup
+from .hash_forest import op5_hash_forest
 from .minhash import op10_fingerprints
 from .mixing import op8_mixing
 from .secret_scan import op9_secret_scan
@@ -25,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op2_near_dedup": op2_near_dedup,
         "op3_warc": op3_warc,
         "op4_bpe": op4_bpe,
+        "op5_hash_forest": op5_hash_forest,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_toxicity": op7_toxicity,
         "op8_mixing": op8_mixing,
