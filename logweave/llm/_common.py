@@ -128,12 +128,22 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, counts
 
 
+class SpanHasher:
+    """64-bit hashes of spans of bytes from one running sum; ASCII letters alike in either case if fold."""
+
+    def __init__(self, data: np.ndarray, fold: bool = True):
+        n = len(data)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum((_FOLDED if fold else _BYTE)[data] * _power(_BASE, n), out=self.total[1:])
+        self.inverse = _power(_BASE_INV, n + 1)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        length = (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return mix((self.total[ends] - self.total[starts]) * self.inverse[starts] + length)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; ASCII letters alike in either case if fold."""
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _BYTE)[data] * _power(_BASE, n), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power(_BASE_INV, n + 1)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return SpanHasher(data, fold)(starts, ends)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -24,17 +24,26 @@ from ._common import _GAP, packed, seeds, slices, span_hashes, table, word_bound
 SAMPLE = 3000
 BITS, DIM, EPOCHS, RATE = 17, 8, 8, 0.4
 GRAMS = (3, 4)
+#: The number of the feature `the same word as before`, a word token of its own.
+ECHO = 1
 _CODE = (seeds(256, 5) >> np.uint64(32)).astype(np.uint32)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Feature numbers of rows of bytes, in several groups; with each group the bounds of the rows in it.
 
-    Group 1: whole words. Further groups: n-grams that lie in a word with one blank at either side."""
+    Group 1: whole words. Group 2: one token for each word that repeats the one before. Further groups: n-grams that lie in a word with one blank at either side."""
     n_rows = len(offsets) - 1
     starts, ends, counts = word_bounds(data, offsets)
-    word = (span_hashes(data, starts, ends, fold=False) >> np.uint64(64 - BITS)).astype(np.int64)
-    ids, bounds = [word], [np.concatenate([[0], np.cumsum(counts)])]
+    full = span_hashes(data, starts, ends, fold=False)
+    word = (full >> np.uint64(64 - BITS)).astype(np.int64)
+    by_row = np.concatenate([[0], np.cumsum(counts)])
+    again = np.zeros(len(full), bool)
+    folded = span_hashes(data, starts, ends)
+    again[1:] = folded[1:] == folded[:-1]
+    again[by_row[:-1][by_row[:-1] < len(full)]] = False
+    echo = np.flatnonzero(again)
+    ids, bounds = [word, np.full(len(echo), ECHO)], [by_row, np.searchsorted(echo, by_row)]
     # a blank before and after each row, so that no n-gram crosses rows
     wide = np.full(len(data) + n_rows + 1, 32, np.uint8)
     wide[np.arange(len(data)) + np.repeat(np.arange(1, n_rows + 1), np.diff(offsets))] = data

@@ -2,8 +2,8 @@
 
 Features of a whole text: densities of a fixed and of a learned lexicon, lexicon words near a second-person pronoun,
 and rates of capitals, punctuation and obfuscation (signs or digits inside words). The learned lexicon holds words and
-word beginnings that mark toxic texts; it comes from one half of a bounded sample of training rows (SAMPLE, the least
-hashes of doc_id), the trees and the calibration from the other half, so that neither sees its own evidence.
+word beginnings that mark toxic texts, learned from a bounded sample of training rows (SAMPLE, the least hashes of
+doc_id) by folds, so that no text's features come from its own label.
 
 Null and empty texts have all features zero. Rows that repeat a doc_id are scored each; contradicting labels count as
 their larger value. Without toxic or without other labels the score is the share of toxic ones (0 without labels).
@@ -12,6 +12,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import packed, slices, span_hashes, staged, table, word_bounds
+from ._common import SpanHasher, packed, slices, staged, table, word_bounds
 
 SAMPLE = 8000
 # Insults and second-person words of the four languages.
@@ -30,8 +31,8 @@ INSULTS = (
     "stupide minable ordure dégueulasse nul débile abruti dumm dummkopf trottel depp abschaum widerlich erbärmlich versager"
 ).split()
 SECOND_PERSON = "you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer usted ustedes tú ti".split()
-PREFIXES = (4, 5, 6)
-NEAR = 3
+PREFIXES = (4, 5, 6, 7, 8)
+NEAR, FOLDS = 3, 3
 NAMES = ("fixed", "learned", "weight", "hits", "near_you", "capitals", "shouting", "punctuation", "marks", "obfuscated", "word_size", "log_words")
 
 _KIND = np.zeros(256, np.uint8)  # 1 lower, 2 capital, 3 digit, 4 sign, 5 beyond ASCII
@@ -39,9 +40,13 @@ _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[128:] = 1, 2, 3, 5
 _KIND[[b for b in range(33, 127) if _KIND[b] == 0]] = 4
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
 def _word_hash(words: list[str]) -> np.ndarray:
     data, offsets = packed(pa.array(words, pa.large_string()))
-    return np.sort(span_hashes(data, offsets[:-1], offsets[1:]))
+    return np.sort(_short(SpanHasher(data)(offsets[:-1], offsets[1:])))
 
 
 _INSULTS, _YOU = _word_hash(INSULTS), _word_hash(SECOND_PERSON)
@@ -52,8 +57,8 @@ def found_in(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndar
     hit, place = np.zeros(len(values), bool), np.zeros(len(values), np.int64)
     if len(table) and len(values):
         bits = np.zeros(1 << 16, bool)
-        bits[(table >> np.uint64(48)).astype(np.int64)] = True
-        at = np.flatnonzero(bits[(values >> np.uint64(48)).astype(np.int64)])
+        bits[table >> np.uint32(16)] = True
+        at = np.flatnonzero(bits[values >> np.uint32(16)])
         where = np.minimum(np.searchsorted(table, values[at]), len(table) - 1)
         good = table[where] == values[at]
         hit[at[good]], place[at[good]] = True, where[good]
@@ -72,11 +77,11 @@ def _trimmed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
 def evidence(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Hashes of words and of their beginnings, each with the mask of the words that are long enough."""
-    whole = np.ones(len(starts), bool)
-    out = [(span_hashes(data, starts, ends), whole)]
+    whole, hashed = np.ones(len(starts), bool), SpanHasher(data)
+    out = [(_short(hashed(starts, ends)), whole)]
     for n in PREFIXES:
         long = ends - starts > n
-        out.append((span_hashes(data, starts, np.minimum(starts + n, ends)) ^ np.uint64(n), long))
+        out.append((_short(hashed(starts, np.minimum(starts + n, ends))) ^ np.uint32(n), long))
     return out
 
 
@@ -143,12 +148,12 @@ def dense(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndarray
     return out
 
 
-def learn_lexicon(rows: list[tuple[np.ndarray, int]], least: int = 4, ratio: float = 8.0) -> Lexicon:
+def learn_lexicon(rows: list[tuple[np.ndarray, int]], least: int = 3, ratio: float = 8.0) -> Lexicon:
     """rows: distinct evidence hashes of a document and its label; keeps what is `ratio` times as common in toxic ones."""
     toxic = [h for h, y in rows if y]
     other = [h for h, y in rows if not y]
     if not toxic or not other:
-        return Lexicon(np.zeros(0, np.uint64), np.zeros(0))
+        return Lexicon(np.zeros(0, np.uint32), np.zeros(0))
     keys, many = np.unique(np.concatenate(toxic), return_counts=True)
     keys, many = keys[many >= least], many[many >= least]
     base_keys, base = np.unique(np.concatenate(other), return_counts=True)
@@ -259,8 +264,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: Colu
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic", most: int = SAMPLE) -> Toxicity:
+    """Train on at most `most` labelled rows. The features of each fold come from a lexicon of the other folds, and each
+    fold is calibrated on the margins of trees that have not seen it; the final lexicon and trees see all."""
     sample = training_rows(docs, labels, label, held_out, most)
-    first = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)) == 0
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,31 +282,36 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxi
                 out.append(np.unique(np.concatenate(marks)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "y", "hashes"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    half = sample.where(first).mapInArrow(hashes, f"doc_id {kind}, y int, hashes binary").collect()
-    lexicon = learn_lexicon([(np.frombuffer(r["hashes"], np.uint64), r["y"]) for r in half])
+    marked = [(r["doc_id"], np.frombuffer(r["hashes"], np.uint32), r["y"]) for r in sample.mapInArrow(hashes, f"doc_id {kind}, y int, hashes binary").collect()]
+    marked.sort(key=lambda r: (r[0], r[1].tobytes()))
+    fold_of = lambda key: zlib.crc32(str(key).encode()) // 16 % FOLDS
+    folds = [fold_of(k) for k, _, _ in marked]
+    lexicons = [learn_lexicon([(h, y) for (_, h, y), f in zip(marked, folds, strict=True) if f != k]) for k in range(FOLDS)]
+    final = learn_lexicon([(h, y) for _, h, y in marked])
+    flat = float(np.mean([y for _, _, y in marked])) if marked else 0.0
+    del marked
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = packed(batch.column(1))
-            x = dense(data, offsets, lexicon)
+            fold = np.array([fold_of(k) for k in batch.column(0).to_pylist()], np.int64)
+            x = np.zeros((batch.num_rows, len(NAMES)))
+            for k in range(FOLDS):
+                if (fold == k).any():
+                    x[fold == k] = dense(data, offsets, lexicons[k])[fold == k]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    rest = sorted(sample.where(~first).mapInArrow(values, f"doc_id {kind}, y int, x array<double>").collect(), key=lambda r: (r["doc_id"], r["x"]))
-    y = np.array([r["y"] for r in rest], float)
+    rows = sorted(sample.mapInArrow(values, f"doc_id {kind}, y int, x array<double>").collect(), key=lambda r: (r["doc_id"], r["x"]))
+    y = np.array([r["y"] for r in rows], float)
     if not len(y) or y.min() == y.max():
-        known = [r["y"] for r in rest] + [r["y"] for r in half]
-        return Toxicity(lexicon, None, np.zeros(0), np.zeros(0), float(np.mean(known)) if known else 0.0)
-    x = np.array([r["x"] for r in rest])
-    # each third is calibrated on the margins of trees that have not seen it; the final trees see all
-    fold = np.random.default_rng(5).integers(0, 3, len(y))
+        return Toxicity(final, None, np.zeros(0), np.zeros(0), flat)
+    x, fold = np.array([r["x"] for r in rows]), np.array([fold_of(r["doc_id"]) for r in rows])
     margin = np.zeros(len(y))
-    for k in range(3):
-        train = fold != k
+    for k in range(FOLDS):
         if (fold == k).any():
-            margin[fold == k] = boost(x[train], y[train]).margin(x[fold == k])
+            margin[fold == k] = boost(x[fold != k], y[fold != k]).margin(x[fold == k])
     steps, levels = isotonic(margin, y)
-    return Toxicity(lexicon, boost(x, y), steps, levels, 0.0)
+    return Toxicity(final, boost(x, y), steps, levels, flat)
 
 
 def score(docs: DataFrame, model: Toxicity, held_out: Column, threshold: float = 0.3) -> DataFrame:
