@@ -2,9 +2,10 @@
 
 Work goes over one representative for each distinct shingle multiset, so copies cost one row each. In a bucket (rows that
 agree in a band) no group is collected and not all pairs are made: the smallest member of each bucket is compared with
-the others, links are merged into components, and only buckets that still hold more than one component go on with
-their next member. Once the pairs left are few against the number of representatives, they are compared one by one. So
-every two rows that share a bucket are compared unless links already join them.
+the others and links are merged into components. Buckets that still hold more than one component are split by size (two
+texts that differ more in size than the threshold allows need no comparison) and go on with their next member, until the
+pairs left between components are few against the number of representatives; those are compared one by one. So every
+two rows that share a bucket are compared unless links already join them or their sizes rule a link out.
 
 Null and empty texts have no shingles: each is a class of its own. Repeated ids are one row; extra columns are ignored.
 """
@@ -25,7 +26,7 @@ Signer = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def signed(docs: DataFrame, signer: Signer, key: str, text: str, words: int) -> DataFrame:
-    """Per row with a shingle: its id, a 128-bit digest of the shingle multiset, and its band keys."""
+    """Per row with a shingle: its id, a 128-bit digest of the shingle multiset, its size, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,10 +42,10 @@ def signed(docs: DataFrame, signer: Signer, key: str, text: str, words: int) ->
                 bands = signer(h, counts[some])
                 keys = batch.column(0).slice(a, b - a).filter(pa.array(some))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], ["id", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(counts[some]), lists], ["id", "d1", "d2", "size", "bands"])
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, d1 long, d2 long, bands array<long>")
+    return rows.mapInArrow(run, "id long, d1 long, d2 long, size long, bands array<long>")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -117,27 +118,30 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 def classes(docs: DataFrame, signer: Signer, key: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, label: str = "near") -> DataFrame:
     """(key, class_id) of every row with a key: class_id is the smallest id of the rows joined by links."""
     rows = staged(signed(docs, signer, key, text, words), f"{label}-signed")
-    reps = staged(rows.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), f"{label}-reps")
-    placed = reps.select("rep", F.explode("bands").alias("bucket")).distinct()
+    reps = staged(rows.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.min("size").alias("size"), F.min_by("bands", "id").alias("bands")), f"{label}-reps")
+    placed = reps.select("rep", "size", F.explode(F.array_distinct("bands")).alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    active = staged(placed.join(shared, "bucket"), f"{label}-buckets")
+    active = staged(placed.join(shared, "bucket").select("bucket", "rep", "size"), f"{label}-buckets")
     n_reps = reps.count()
     tested = links = roots = None
+    rounds = 0
     while True:
         if roots is None:
-            now = active.select("bucket", "rep", F.col("rep").alias("root"))
+            now = active.withColumn("root", F.col("rep"))
         else:
-            now = active.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-        state = now.groupBy("bucket").agg(F.min("rep").alias("leader"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").cast("double").alias("n"), F.min_by("root", "rep").alias("leader_root"))
-        opened = state.where("r0 <> r1")
+            now = active.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "size", F.coalesce("root", "rep").alias("root"))
+        parts = now.groupBy("bucket", "root").agg(F.min("rep").alias("first"), F.count("*").alias("m"))
+        state = parts.groupBy("bucket").agg(F.min(F.struct("first", "root")).alias("lead"), F.count("*").alias("k"), F.sum("m").cast("double").alias("n"), F.sum(F.col("m").cast("double") * F.col("m")).alias("inner"))
+        opened = state.where("k > 1").select("bucket", F.col("lead.first").alias("leader"), F.col("lead.root").alias("leader_root"), ((F.col("n") * F.col("n") - F.col("inner")) / 2).alias("open_pairs"))
         now = staged(now.join(opened, "bucket"), f"{label}-open")
-        left = now.where("rep = leader").agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0] or 0.0
+        left = now.where("rep = leader").agg(F.sum("open_pairs")).first()[0] or 0.0
         if not left:
             break
-        last = left <= 4 * n_reps + 10_000
+        last = rounds > 0 and left <= 16 * n_reps + 10_000
         if last:
-            other = now.select("bucket", F.col("rep").alias("hi"), F.col("root").alias("hi_root"))
-            tries = now.select("bucket", F.col("rep").alias("lo"), "root").join(other, "bucket").where("lo < hi and root <> hi_root").select("lo", "hi").distinct()
+            other = now.select("bucket", F.col("rep").alias("hi"), F.col("root").alias("hi_root"), F.col("size").alias("hi_size"))
+            tries = now.select("bucket", F.col("rep").alias("lo"), "root", "size").join(other, "bucket").where("lo < hi and root <> hi_root")
+            tries = tries.where((F.least("size", "hi_size") >= F.lit(threshold) * F.greatest("size", "hi_size"))).select("lo", "hi").distinct()
         else:
             tries = now.where("rep <> leader and root <> leader_root").select(F.col("leader").alias("lo"), F.col("rep").alias("hi")).distinct()
         if tested is not None:
@@ -149,7 +153,13 @@ def classes(docs: DataFrame, signer: Signer, key: str = "doc_id", text: str = "t
         roots = staged(components(links, f"{label}-components"), f"{label}-roots")
         if last:
             break
-        active = now.where("rep <> leader").select("bucket", "rep")
+        active = now.where("rep <> leader").select("bucket", "rep", "size")
+        if not rounds:
+            # texts as similar as the threshold differ in size by one step of a ladder at most, so they share a rung
+            rung = F.floor(F.log(F.col("size").cast("double")) / float(np.log(1 / threshold)) - 1e-9).cast("long")
+            both = F.explode(F.array(rung, rung + 1)).alias("rung")
+            active = staged(active.select("bucket", "rep", "size", both).select(F.xxhash64("bucket", "rung").alias("bucket"), "rep", "size"), f"{label}-rungs")
+        rounds += 1
     groups = reps.select("d1", "d2", "rep")
     if roots is not None:
         groups = groups.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("class_id"))

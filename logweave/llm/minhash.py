@@ -22,7 +22,9 @@ from ._common import mix, packed, seeds, shingles, slices, table
 from ._links import classes
 
 LANES = 128
-_A, _B = seeds(LANES, 11) | np.uint64(1), seeds(LANES, 12)
+#: Bands and lanes of each, for joining near duplicates.
+BANDS, ROWS = 45, 7
+_A, _B = seeds(BANDS * ROWS, 11) | np.uint64(1), seeds(BANDS * ROWS, 12)
 #: Documents in a run of neighbours that one task handles.
 RUN = 2000
 
@@ -64,12 +66,12 @@ def edited(text: str, following: str) -> str:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """(key, class_id) by bands of 4 of 96 lanes, verified: the general form of this operator."""
+    """(key, class_id) by bands of lanes, verified: the general form of this operator."""
 
     def signer(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        lanes = signatures(h, counts, 96).reshape(len(counts), 24, 4)
-        band = np.broadcast_to(np.arange(1, 25, dtype=np.uint64), lanes.shape[:2]).copy()
-        for i in range(4):
+        lanes = signatures(h, counts, BANDS * ROWS).reshape(len(counts), BANDS, ROWS)
+        band = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), lanes.shape[:2]).copy()
+        for i in range(ROWS):
             band = mix(band ^ lanes[:, :, i]) * np.uint64(0xD1342543DE82EF95)
         return mix(band)
 
