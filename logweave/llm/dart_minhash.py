@@ -88,11 +88,12 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without all but the smallest id of each class; rows without an id stay, rows that repeat an id once."""
-    kept = near_classes(docs, key, text).where(F.col(key) == F.col("class_id")).select(F.col(key).alias("_kept"))
+    kept = near_classes(docs, key, text).where(F.col(key) == F.col("class_id")).select(F.col(key).alias("k"))
     named = docs.where(F.col(key).isNotNull())
     if named.groupBy(key).count().where("count > 1").limit(1).count():
         named = named.dropDuplicates([key])
-    return named.join(kept, F.col(key).cast("long") == F.col("_kept"), "left_semi").unionByName(docs.where(F.col(key).isNull()))
+    row = named.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("k"))
+    return row.join(kept, "k", "left_semi").select("row.*").unionByName(docs.where(F.col(key).isNull()))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,8 +115,9 @@ def report(docs: DataFrame, **target: float) -> DataFrame:
 
 def mixed(docs: DataFrame, **target: float) -> DataFrame:
     """docs with every row as often as the mixture takes it."""
-    taken = copies(docs, tokens(), F.xxhash64("text"), **target).where("_copies > 0")
-    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", "doc_id")
+    taken = copies(row, tokens("row.text"), F.xxhash64("row.text"), **target).where("_copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("row.*")
 
 
 #: Documents of the smallest source are taken twice at most, all others less often, and each at least once.

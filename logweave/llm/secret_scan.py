@@ -121,8 +121,9 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of the text replaced by the mark; null texts stay null, n_chars follows if it is there."""
-    found = with_spans(docs, text)
-    t = F.col(text)
+    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("t"))
+    found = with_spans(wrapped, "t")
+    t = F.col("t")
 
     def step(acc: Column, x: Column) -> Column:
         new = x["s"] >= acc["pos"]
@@ -131,10 +132,9 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
     zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
     clean = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substr(t, acc["pos"] + 1, F.length(t))))
-    result = found.withColumn(text, F.when(F.size("_spans") > 0, clean).otherwise(t))
-    if "n_chars" in docs.columns:
-        result = result.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")))
-    return result.select(*docs.columns)
+    found = found.select("row", F.when(F.size("_spans") > 0, clean).alias("clean"))
+    new = {text: F.coalesce("clean", F.col("row")[text]), "n_chars": F.coalesce(F.length("clean").cast("long"), F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return found.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

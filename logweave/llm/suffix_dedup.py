@@ -46,11 +46,11 @@ def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(out[: len(x) - width + 1], out[width - have : len(x) - have + 1]) if have < width else out
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all GRAM-byte pieces, and the places that are the least of some window."""
+def piece_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of all GRAM-byte pieces, by doubling."""
     n = len(data)
-    if n < LENGTH:
-        return np.zeros(max(0, n - GRAM + 1), np.uint64), np.zeros(0, np.int64)
+    if n < GRAM:
+        return np.zeros(0, np.uint64)
     h, have = data.astype(np.uint64) + np.uint64(1), 1
     keep = {}
     while have < GRAM:
@@ -64,7 +64,14 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if rest:
         m = n - GRAM + 1
         h = h[:m] * np.uint64(pow(_B, rest, 2**64)) + keep[rest][have : have + m]
-    h = mix(h)
+    return mix(h)
+
+
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all pieces, and the places that are the least of some window."""
+    h = piece_hashes(data)
+    if len(data) < LENGTH:
+        return h, np.zeros(0, np.int64)
     least = _sliding(h, SPAN, np.minimum)
     edge = np.zeros(SPAN - 1, np.uint64)
     top = _sliding(np.concatenate([edge, least, edge]), SPAN, np.maximum)
@@ -79,7 +86,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for j in range(7):  # 9 bits a byte: the end sorts before every byte
         key = (key << np.uint64(9)) | wide[j : j + n]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     k = key[sa]
     new = np.ones(n, bool)
     new[1:] = k[1:] != k[:-1]
@@ -95,7 +102,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         pos = sa[open_at]
         group = rank[pos]
         ahead = rank[np.minimum(pos + depth, n)] + 1
-        order = np.argsort((group.astype(np.uint64) << np.uint64(32)) | ahead.astype(np.uint64), kind="stable")
+        order = np.argsort((group.astype(np.uint64) << np.uint64(32)) | ahead.astype(np.uint64))
         pos, group, ahead = pos[order], group[order], ahead[order]
         sa[open_at] = pos
         first = np.ones(len(pos), bool)
@@ -228,6 +235,13 @@ def _without(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, copies: pa.
     return ids[keep], data[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])])
 
 
+def _within(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted table."""
+    if not len(table):
+        return np.zeros(len(values), bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
 def _key(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of a hash, and its key: bucket and 32 other bits. Keys only choose what to look at."""
     bucket = (h >> np.uint64(32)) % np.uint64(buckets)
@@ -289,7 +303,7 @@ def shard_result(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, shared:
     last the compacted bytes' place of each run, and these bytes."""
     none = np.zeros(0, np.int64)
     p, h = _row_anchors(data, offsets)
-    hot = np.isin(_key(h, buckets)[1], shared)
+    hot = _within(_key(h, buckets)[1], shared)
     if not hot.any():
         return (none, none, none), (none, none, none, none), none, data[:0]
     row = np.searchsorted(offsets, p[hot], side="right") - 1
@@ -317,11 +331,15 @@ def shard_result(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, shared:
     for a in range(0, at[-1], step):
         part = text[a : min(at[-1], a + step + LENGTH)]
         if len(part) >= LENGTH:
-            g = anchors(part)[0]
-            least = _sliding(g, SPAN, np.minimum)[:step]
+            least = _sliding(piece_hashes(part), SPAN, np.minimum)[:step]
             window_hash[a : a + len(least)] = least
-    bucket, key = _key(window_hash, buckets)
-    valid &= np.isin(key, shared)
+    turn = np.ones(len(window_hash), bool)
+    turn[1:] = window_hash[1:] != window_hash[:-1]
+    turns = np.flatnonzero(turn)
+    few, key = _key(window_hash[turns], buckets)
+    spread = np.diff(np.append(turns, len(window_hash)))
+    bucket = np.repeat(few, spread)
+    valid &= np.repeat(_within(key, shared), spread)
     if not valid.any():
         return (none, none, none), (none, none, none, none), none, data[:0]
     pos, group = string_classes(text, valid)
@@ -454,17 +472,32 @@ def _merge_bucket(group: pa.Table) -> pa.Table:
         parts.append(np.frombuffer(raw.as_buffer(), np.uint8))
     label, doc, start, size, data = map(np.concatenate, (labels, docs, starts, sizes, parts))
     bounds = np.concatenate([[0], np.cumsum(size)])
-    cuts = list(slices(bounds, UNIT_BYTES))
-    units = [(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], doc[a:b]) for a, b in cuts]
-    results = []
-    for (a, b), later in zip(cuts, across(units), strict=True):
-        edge = np.zeros(len(later), bool)
-        edge[bounds[a:b] - bounds[a]] = True
-        x, y = _runs(later, edge)
-        run = a + np.searchsorted(bounds[a : b + 1] - bounds[a], x, side="right") - 1
-        lo = start[run] + (x + bounds[a] - bounds[run])
-        results.append((label[run], doc[run], lo, lo + (y - x) + LENGTH - 1))
-    return pa.table(_found(*(np.concatenate(c) for c in zip(*results, strict=True))))
+    # runs of the same bytes, one from each shard mostly, are sorted once, for the first document that has them
+    raw, seen = data.tobytes(), {}
+    same = np.fromiter((seen.setdefault(raw[a:b], len(seen)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)), np.int64, len(size))
+    first = np.full(len(seen), np.iinfo(np.int64).max)
+    np.minimum.at(first, same, doc)
+    one = np.fromiter(map(len, seen), np.int64, len(seen))
+    text, edges = np.frombuffer(b"".join(seen), np.uint8), np.concatenate([[0], np.cumsum(one)])
+    del raw, seen
+    cuts = list(slices(edges, UNIT_BYTES))
+    units = [(text[edges[a] : edges[b]], edges[a : b + 1] - edges[a], first[a:b]) for a, b in cuts]
+    later = np.concatenate(across(units))
+    edge = np.zeros(len(later), bool)
+    edge[edges[:-1]] = True
+    x, y = _runs(later, edge)
+    run = np.searchsorted(edges, x, side="right") - 1
+    # covered parts of each text hold for all its runs; a run of a later document than the first is covered as a whole
+    whole = doc > first[same]
+    order = np.argsort(same, kind="stable")
+    order = order[~whole[order]]
+    low, high = np.searchsorted(same[order], run, "left"), np.searchsorted(same[order], run, "right")
+    many = high - low
+    pick = order[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+    lo = start[pick] + np.repeat(x - edges[run], many)
+    hi = lo + np.repeat(y - x, many) + LENGTH - 1
+    ids = (label[whole], doc[whole], start[whole], start[whole] + size[whole])
+    return pa.table(_found(*(np.concatenate(c) for c in zip(ids, (label[pick], doc[pick], lo, hi), strict=True))))
 
 
 def _union(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -516,8 +549,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 if one is not None and one in held[4]:
                     out.append((one, size, size if size >= LENGTH else 0, int(size >= LENGTH), b"" if size >= LENGTH else raw.to_pybytes()))
                     continue
-                a, b = np.searchsorted(held[1], one, "left"), np.searchsorted(held[1], one, "right")
-                if one is None or a == b:
+                a, b = (np.searchsorted(held[1], one, side) for side in ("left", "right")) if one is not None else (0, 0)
+                if a == b:
                     out.append((one, size, 0, 0, raw.to_pybytes()))
                     continue
                 lo, hi = _union(held[2][a:b], held[3][a:b])
