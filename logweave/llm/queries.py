@@ -11,6 +11,7 @@ from .dart_minhash import op2_near_dedup
 from .hash_forest import op5_hash_forest
 from .minhash import op10_fingerprints
 from .mixing import op8_mixing
+from .oracles import OP2_SQL, OP6_SQL, OP9_SQL
 from .secret_scan import op9_secret_scan
 from .subword import op1_quality
 from .suffix_dedup import op6_suffix_dedup
@@ -36,4 +37,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL}
+    return {"op2_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op9_secret_scan": OP9_SQL}
