@@ -224,3 +224,12 @@ def sanitize_label(text: Column, collapse: bool = True) -> Column:
 def support_scope(dataset: Column) -> Column:
     """The bank that serves a dataset: all banks (*) for Liberty, HDFS for HDFS_v1, else its own."""
     return F.when(dataset == "Liberty", "*").when(dataset == "HDFS_v1", "HDFS").otherwise(dataset)
+
+
+def prompt_and_answer(row: Column, form: str) -> tuple[Column, Column]:
+    """Prompt and expected answer of a training record held as a struct: `instruction` or `chat` form."""
+    if form == "instruction":
+        return F.concat(row["instruction"], F.lit("\n\n"), row["input"]), row["output"]
+    turns = row["messages"]
+    said = lambda role: F.element_at(F.filter(turns, lambda t: t["role"] == role), -1)["content"]
+    return said("user"), said("assistant")

@@ -56,6 +56,25 @@ def template_level(aligned: DataFrame) -> DataFrame:
     return ok.join(truths, "dataset").select("dataset", "identified_templates", "ground_templates", p.alias("PTA"), r.alias("RTA"), harmonic(p, r).alias("FTA"))
 
 
+def filtered(aligned: DataFrame, only: DataFrame) -> DataFrame:
+    """GA, FGA, PA, PTA, RTA and FTA over the truth templates in `only` (dataset, truth); groups are judged on all rows."""
+    wanted = only.select("dataset", "truth").distinct()
+    pairs = _pairs(aligned).join(wanted.withColumn("in", F.lit(1)), ["dataset", "truth"], "left").withColumn("in", F.coalesce("in", F.lit(0)))
+    preds = pairs.groupBy("dataset", "pred").agg(F.sum("n").alias("pred_rows"), F.max("in").alias("seen"), F.min("truth").alias("a"), F.max("truth").alias("b"))
+    truths = pairs.groupBy("dataset", "truth").agg(F.count("*").alias("k"), F.sum("n").alias("rows"), F.min("pred").alias("pred"), F.max("in").alias("in"), F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)).alias("same"))
+    good = truths.where("in = 1").join(preds, ["dataset", "pred"]).withColumn("ok", ((F.col("k") == 1) & (F.col("rows") == F.col("pred_rows"))).cast("long"))
+    g = good.groupBy("dataset").agg(F.sum(F.col("ok") * F.col("rows")).alias("ok_rows"), F.sum("rows").alias("rows"), F.sum("ok").alias("ok"), F.sum("same").alias("same"))
+    right = wanted.withColumnRenamed("truth", "pred").withColumn("listed", F.lit(1))
+    t = preds.where("seen = 1 or a = pred").join(right, ["dataset", "pred"], "left").groupBy("dataset").agg(F.sum(((F.col("a") == F.col("pred")) & (F.col("b") == F.col("pred")) & F.col("listed").isNotNull()).cast("long")).alias("t_ok"), F.sum("seen").alias("preds"))
+    n = wanted.groupBy("dataset").agg(F.count("*").alias("n"))
+    out = g.join(t, "dataset").join(n, "dataset")
+    ratio = lambda a, b: F.col(a) / F.col(b)
+    return out.select(
+        "dataset", ratio("ok_rows", "rows").alias("GA"), ratio("same", "rows").alias("PA"), harmonic(ratio("ok", "preds"), ratio("ok", "n")).alias("FGA"),
+        ratio("t_ok", "preds").alias("PTA"), ratio("t_ok", "n").alias("RTA"), harmonic(ratio("t_ok", "preds"), ratio("t_ok", "n")).alias("FTA"),
+    )
+
+
 METRICS = ("GA", "PA", "FGA", "PTA", "RTA", "FTA")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +18,19 @@ def signature_generator(content: Column) -> Column:
     return T.template_answer(T.signature(content))
 
 
+def python_generator(make: Callable[[], Callable[[list[str]], list[str]]], instruction: str = T.INSTRUCTION) -> Callable[[Column], Column]:
+    """A generator from a Python model: `make` loads it once in each worker, and it answers prompts batch by batch."""
+
+    @F.pandas_udf("string")
+    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make()
+        for prompts in batches:
+            yield pd.Series(model(list(prompts)), dtype=object)
+
+    none = F.expr("cast(array() as array<struct<content:string,template:string>>)")
+    return lambda content: answer(F.concat(F.lit(instruction + "\n\n"), T.build_input(content, none)))
+
+
 def match_patterns(logs: DataFrame, bank: DataFrame) -> DataFrame:
     """(dataset, content, template) of distinct logs and the bank pattern of the best score; ties go to the later one.
 

@@ -152,6 +152,35 @@ def write_csv(df: DataFrame, path: str, by_dataset: bool = True) -> None:
     (writer.partitionBy("dataset") if by_dataset and "dataset" in df.columns else writer).csv(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """A summary as JSON records."""
+    df.write.mode("overwrite").json(path)
+
+
+def read_jsonl(spark: SparkSession, path: str, n: int | None = None, schema: str | None = None) -> DataFrame:
+    """JSON lines, the first n of them if n is given (a feature of the loader: any n rows of a directory of parts)."""
+    df = (spark.read.schema(schema) if schema else spark.read).json(path)
+    return df if n is None else df.limit(n)
+
+
+def eval_split(rows: DataFrame, share: float, seed: int, key: str = "ord", least: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(train, eval): rows whose seeded hash falls under the share go to eval; no split under `least` rows."""
+    if rows.limit(least).count() < least:
+        return rows, rows.limit(0)
+    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < int(share * (1 << 30))
+    return rows.where(~drawn), rows.where(drawn)
+
+
+def structured_result(spark: SparkSession, root: str, dataset: str) -> str:
+    """The result file of a dataset: in a directory of its own, or in the root."""
+    jvm = spark.sparkContext._jvm
+    for path in (f"{root}/{dataset}/{dataset}_full.log_structured.csv", f"{root}/{dataset}_full.log_structured.csv"):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return path
+    raise FileNotFoundError(f"no result of {dataset} in {root}")
+
+
 def export_predictions(predictions: DataFrame) -> DataFrame:
     """Predictions as a structured table: LineId, Content, EventId, EventTemplate."""
     return predictions.select("dataset", F.col("line_id").cast("string").alias("LineId"), F.col("content").alias("Content"), T.event_id(F.col("predicted_template")).alias("EventId"), F.col("predicted_template").alias("EventTemplate"))
@@ -176,3 +205,11 @@ def names_from(text: str | None) -> list[str] | None:
     """A comma list: stripped, empty parts gone, each once; None if nothing is left."""
     found = list(dict.fromkeys(x.strip() for x in (text or "").split(",") if x.strip()))
     return found or None
+
+
+def ints_from(text: str) -> list[int]:
+    """A comma list of whole numbers; an empty list is an error."""
+    found = [int(x) for x in names_from(text) or []]
+    if not found:
+        raise ValueError("no number given")
+    return found

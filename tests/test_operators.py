@@ -161,3 +161,30 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r["ord"], r["predicted_template"], r["decision_source"]) for r in spark.table("parsed").collect()}
     want = {(r["ord"], r["predicted_template"], r["decision_source"]) for r in parse.parse_ordered(rows).collect()}
     assert got == want and len(got) == 12
+
+
+def test_filtered_metrics(spark):
+    rows = [("d", "a", "a"), ("d", "a", "a"), ("d", "b", ""), ("d", "c", "x"), ("d", "c", "y")]
+    aligned = spark.createDataFrame(rows, "dataset string, truth string, pred string")
+    r = metrics.filtered(aligned, spark.createDataFrame([("d", "a"), ("d", "c")], "dataset string, truth string")).first()
+    assert (r["GA"], r["PA"], r["PTA"], r["RTA"]) == (2 / 4, 2 / 4, 1 / 3, 1 / 2)
+
+
+def test_python_generator(spark):
+    made = parse.python_generator(lambda: lambda prompts: [f"<START>{p.split('<content>')[-1].split()[0]} <*><END>" for p in prompts])
+    got = parse.parse_sets(logs(spark, [("alpha 1", None)]), logs(spark, [("zzz", "zzz")]), made).first()
+    assert (got["predicted_template"], got["decision_source"]) == ("alpha <*>", "llm")
+
+
+def test_loaders(spark, tmp_path):
+    rows = logs(spark, [(f"c{i}", f"t{i}") for i in range(30)])
+    train, held = L.eval_split(rows, 0.3, 4)
+    assert train.count() + held.count() == 30 and 0 < held.count() < 30
+    none = F.expr("cast(array() as array<struct<content:string,template:string>>)")
+    L.write_jsonl(rows, T.instruction_record(F.col("content"), F.col("event_template"), none), str(tmp_path / "j"))
+    back = L.read_jsonl(spark, str(tmp_path / "j"), 5)
+    assert back.count() == 5
+    q, a = T.prompt_and_answer(F.struct("*"), "instruction")
+    row = back.select(q.alias("q"), a.alias("a")).first()
+    assert row["q"].startswith(T.INSTRUCTION) and row["a"].startswith("<START>t")
+    assert L.ints_from("1, 2") == [1, 2]

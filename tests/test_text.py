@@ -40,7 +40,7 @@ def test_similarity_and_merge(spark):
 
 
 def test_template_guess(spark):
-    assert one(spark, T.template_guess(F.split("a", " ")), a="close ( <num> ) , a . b < * >") == "close (<num>), a.b <*>"
+    assert one(spark, T.template_guess(F.split("a", " ")), a="close ( <num> ) , a . b < * >") == "close (<num>), a. b <*>"
 
 
 def test_answers(spark):
