@@ -1,6 +1,6 @@
 """Structured Streaming forms of the log operators.
 
-The reference's "online" mode is one ordered pass; here the same caches live in the state of a keyed stream, so each
+The online mode is one ordered pass; here the same caches live in the state of a keyed stream, so each
 micro-batch goes on from where the last one ended. Look-ups against a fixed bank need no state at all."""
 
 from __future__ import annotations
