@@ -64,7 +64,8 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int,
     numbered = pairs.select("lo", "hi")
     wanted = numbered.select(F.col("lo").alias("id"), F.struct("lo", "hi").alias("pair"), F.lit(0).alias("side")).unionAll(numbered.select(F.col("hi").alias("id"), F.struct("lo", "hi").alias("pair"), F.lit(1).alias("side")))
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    fetched = wanted.join(texts, "id")
+    # the same plan at every size: neither side has a bound that a broadcast could rest on
+    fetched = wanted.join(texts.hint("merge"), "id")
     a = fetched.where("side = 0").select("pair", F.col("text").alias("ta"))
     b = fetched.where("side = 1").select("pair", F.col("text").alias("tb"))
     both = a.join(b, "pair").select("pair.lo", "pair.hi", "ta", "tb")
@@ -92,8 +93,14 @@ def _sum(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """(node, root) of every node of the edges (lo, hi); root is the component's smallest node, itself included.
+#: Leaders that the buckets of one group of texts may have.
+LEADERS = 6
+#: Edges in a file of the tables between rounds.
+EDGES = 200_000
+
+
+def stars(edges: DataFrame, label: str) -> DataFrame:
+    """(node, root) of every node of the edges (lo, hi) but the roots; root is the component's smallest node.
 
     Alternates large-star and small-star steps; groups are only ever aggregated, and each round is a written table."""
     now = staged(edges.where("lo <> hi").select(F.greatest("lo", "hi").alias("hi"), F.least("lo", "hi").alias("lo")).distinct(), label)
@@ -104,15 +111,19 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(down, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(down.select("hi", F.col("m").alias("lo"))).distinct()
-        new = staged(small, label)
+        new = staged(small.coalesce(2 * before[0] // EDGES + 1), label)
         after = _sum(new)
         discard(now)
         now = new
         if after == before:
-            break
+            return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         before = after
-    # a node may appear with one root only: the rounds end when every node points at its smallest
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+
+
+def components(edges: DataFrame, label: str = "components") -> DataFrame:
+    """The same with the roots, each its own root."""
+    found = stars(edges, label)
+    return found.unionAll(found.select(F.col("root").alias("node"), "root").distinct())
 
 
 def classes(docs: DataFrame, signer: Signer, key: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, label: str = "near") -> DataFrame:
@@ -131,13 +142,15 @@ def classes(docs: DataFrame, signer: Signer, key: str = "doc_id", text: str = "t
         else:
             now = active.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "size", F.coalesce("root", "rep").alias("root"))
         parts = now.groupBy("bucket", "root").agg(F.min("rep").alias("first"), F.count("*").alias("m"))
-        state = parts.groupBy("bucket").agg(F.min(F.struct("first", "root")).alias("lead"), F.count("*").alias("k"), F.sum("m").cast("double").alias("n"), F.sum(F.col("m").cast("double") * F.col("m")).alias("inner"))
+        # buckets of one group of texts differ in their leaders, so that a text is held against several others at once
+        turn = F.xxhash64("first", F.pmod("bucket", F.lit(LEADERS)))
+        state = parts.groupBy("bucket").agg(F.min_by(F.struct("first", "root"), F.struct(turn, "first")).alias("lead"), F.count("*").alias("k"), F.sum("m").cast("double").alias("n"), F.sum(F.col("m").cast("double") * F.col("m")).alias("inner"))
         opened = state.where("k > 1").select("bucket", F.col("lead.first").alias("leader"), F.col("lead.root").alias("leader_root"), ((F.col("n") * F.col("n") - F.col("inner")) / 2).alias("open_pairs"))
         now = staged(now.join(opened, "bucket"), f"{label}-open")
         left = now.where("rep = leader").agg(F.sum("open_pairs")).first()[0] or 0.0
         if not left:
             break
-        last = rounds > 0 and left <= 16 * n_reps + 10_000
+        last = rounds > 0 and left <= 4 * n_reps + 10_000
         if last:
             other = now.select("bucket", F.col("rep").alias("hi"), F.col("root").alias("hi_root"), F.col("size").alias("hi_size"))
             tries = now.select("bucket", F.col("rep").alias("lo"), "root", "size").join(other, "bucket").where("lo < hi and root <> hi_root")
@@ -150,7 +163,7 @@ def classes(docs: DataFrame, signer: Signer, key: str = "doc_id", text: str = "t
         tested = tries if tested is None else tested.unionAll(tries)
         found = staged(verified(tries, docs, key, text, words, threshold), f"{label}-links")
         links = found if links is None else links.unionAll(found)
-        roots = staged(components(links, f"{label}-components"), f"{label}-roots")
+        roots = stars(links, f"{label}-roots")
         if last:
             break
         active = now.where("rep <> leader").select("bucket", "rep", "size")
