@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._common import staged, table
 
-TREES, BITS, ENOUGH = 96, 32, 0.5
+TREES, BITS, ENOUGH = 96, 32, 1.5
 SHARD_ROWS, BLOCK_QUERIES = 8192, 2048
 
 
