@@ -229,7 +229,7 @@ _SIGMA = "Σ"
 class Encoder:
     """Texts to token ids with a bounded memory of words; `piece` is the most characters read at once."""
 
-    def __init__(self, path: str, most_words: int = 500_000, piece: int = 1 << 20, long_word: int = 256):
+    def __init__(self, path: str, most_words: int = 200_000, piece: int = 1 << 20, long_word: int = 256):
         self.merges = Merges(path)
         self.most, self.piece, self.long_word = most_words, piece, long_word
         #: The ids of a word as text, and the decoded text of such ids.
@@ -395,6 +395,9 @@ def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
                     flush()
             flush()
             yield pa.RecordBatch.from_arrays([keys, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        # a worker may live on for other queries
+        enc.known.clear()
+        enc.shown.clear()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

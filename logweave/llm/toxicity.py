@@ -303,9 +303,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxi
             data, offsets = packed(batch.column(1))
             fold = np.array([fold_of(k) for k in batch.column(0).to_pylist()], np.int64)
             x = np.zeros((batch.num_rows, len(NAMES)))
-            for k in range(FOLDS):
-                if (fold == k).any():
-                    x[fold == k] = dense(data, offsets, lexicons[k])[fold == k]
+            for a, b in slices(offsets, 1 << 18):
+                part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                for k in np.unique(fold[a:b]):
+                    x[a:b][fold[a:b] == k] = dense(part, at, lexicons[k])[fold[a:b] == k]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     rows = sorted(sample.mapInArrow(values, f"doc_id {kind}, y int, x array<double>").collect(), key=lambda r: (r["doc_id"], r["x"]))
