@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SpanHasher, packed, slices, staged, table, word_bounds
+from ._common import SpanHasher, packed, seeds, slices, staged, table, word_bounds
 
 SAMPLE = 8000
 # Insults and second-person words of the four languages.
@@ -33,6 +33,7 @@ INSULTS = (
 SECOND_PERSON = "you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer usted ustedes tú ti".split()
 PREFIXES = (4, 5, 6, 7, 8)
 NEAR, FOLDS = 3, 3
+LANES, SAME = 64, 0.8
 NAMES = ("fixed", "learned", "weight", "hits", "near_you", "capitals", "shouting", "punctuation", "marks", "obfuscated", "word_size", "log_words")
 
 _KIND = np.zeros(256, np.uint8)  # 1 lower, 2 capital, 3 digit, 4 sign, 5 beyond ASCII
@@ -87,10 +88,11 @@ def evidence(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tup
 
 @dataclass
 class Lexicon:
-    """Sorted hashes and their weights."""
+    """Sorted hashes and their weights, and the number of training rows they come from."""
 
     keys: np.ndarray
     weights: np.ndarray
+    rows: int
 
 
 def dense(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndarray:
@@ -148,19 +150,49 @@ def dense(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndarray
     return out
 
 
-def _family(h: np.ndarray) -> tuple[int, int]:
-    """Two minima over permutations: texts that agree in both are near copies, as a rule."""
-    return tuple(int((h * np.uint32(a)).min()) if len(h) else 0 for a in (0x9E3779B1, 0x85EBCA6B))
+def _minima(sets: list[np.ndarray]) -> np.ndarray:
+    """The least value of each set over LANES permutations, one row for each set."""
+    out = np.full((len(sets), LANES), 0xFFFFFFFF, np.uint32)
+    full = [i for i, h in enumerate(sets) if len(h)]
+    if full:
+        h = np.concatenate([sets[i] for i in full])
+        starts = np.concatenate([[0], np.cumsum([len(sets[i]) for i in full])[:-1]])
+        for k, seed in enumerate(seeds(LANES, 7)):
+            out[full, k] = np.minimum.reduceat((h ^ _short(seed)) * (_short(seed << np.uint64(32)) | np.uint32(1)), starts)
+    return out
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of distinct hashes have a Jaccard similarity of SAME or more; empty ones are equal."""
+    if min(len(a), len(b)) < SAME * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SAME * (len(a) + len(b) - both)
+
+
+def one_each(rows: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, int]]:
+    """rows without those that are near copies of an earlier row kept, of the same label. Sets that agree in half of the
+    lanes are compared; two of similarity SAME are, but for a chance under 1e-8."""
+    minima, y = _minima([h for h, _ in rows]), np.array([y for _, y in rows], np.int64)
+    kept: dict[int, list[int]] = {label: [] for label in np.unique(y).tolist()}
+    held = {label: np.empty((int((y == label).sum()), LANES), np.uint32) for label in kept}
+    for i, (h, label) in enumerate(rows):
+        same = kept[label]
+        near = np.flatnonzero((held[label][: len(same)] == minima[i]).sum(axis=1) >= LANES // 2)
+        if not any(_alike(rows[same[j]][0], h) for j in near):
+            held[label][len(same)] = minima[i]
+            same.append(i)
+    return [rows[i] for i in sorted(i for some in kept.values() for i in some)]
 
 
 def learn_lexicon(rows: list[tuple[np.ndarray, int]], least: float = 0.01, ratio: float = 8.0) -> Lexicon:
     """rows: distinct evidence hashes of a document and its label; keeps what is `ratio` times as common in toxic ones and
     lies in the share `least` of them, in 3 or more. Near copies count once, lest their rare words become evidence."""
-    rows = list({(_family(h), y): (h, y) for h, y in rows}.values())
+    rows = one_each(rows)
     toxic = [h for h, y in rows if y]
     other = [h for h, y in rows if not y]
     if not toxic or not other:
-        return Lexicon(np.zeros(0, np.uint32), np.zeros(0))
+        return Lexicon(np.zeros(0, np.uint32), np.zeros(0), len(rows))
     least = max(3, round(least * len(toxic)))
     keys, many = np.unique(np.concatenate(toxic), return_counts=True)
     keys, many = keys[many >= least], many[many >= least]
@@ -169,7 +201,7 @@ def learn_lexicon(rows: list[tuple[np.ndarray, int]], least: float = 0.01, ratio
     base = np.where(base_keys[at] == keys, base[at], 0)
     gain = ((many + 0.5) / (len(toxic) + 1)) / ((base + 0.5) / (len(other) + 1))
     good = (gain >= ratio) & (many >= 0.8 * (many + base))
-    return Lexicon(keys[good], np.log(gain[good]))
+    return Lexicon(keys[good], np.log(gain[good]), len(rows))
 
 
 @dataclass

@@ -105,6 +105,18 @@ def test_toxicity_held_out(spark):
     assert {r["score"] for r in toxicity.score(texts, none, held).collect()} == {0.0}
 
 
+def test_lexicon_merges_only_near_copies():
+    r = np.random.default_rng(4)
+    common = r.integers(0, 1 << 32, 40, dtype=np.uint32)
+    own = lambda n: r.integers(0, 1 << 32, n, dtype=np.uint32)
+    rows = [(np.unique(np.concatenate([common, own(40)])), i % 4 == 0) for i in range(300)]  # similarity of a third
+    assert len(toxicity.one_each(rows)) == 300 and toxicity.learn_lexicon(rows).rows == 300
+    copies = [(np.unique(np.concatenate([rows[0][0][:76], own(4)])), 1) for _ in range(20)]  # of 0.9
+    assert len(toxicity.one_each(rows + copies)) == 300
+    assert len(toxicity.one_each([*rows, (rows[0][0], 0), (rows[1][0][:60], 0)])) == 302  # another label; similarity 0.75
+    assert len(toxicity.one_each([(np.zeros(0, np.uint32), 0)] * 2)) == 1 and toxicity.one_each([]) == []
+
+
 def test_isotonic_rises():
     r = np.random.default_rng(1)
     x = r.normal(size=300)
