@@ -5,8 +5,9 @@ public seekable format). The index maps a record's identifier to its bundle, fra
 record costs one frame. Bundles lie in the shared folder, under names that no other task attempt uses; only what a
 committed attempt wrote is in the index.
 
-Null payloads are empty. Of rows that repeat a page_id each has its own record, of the same type. Rows without page_id
-have the identifier `none`; they never stand for others unless no row with the same payload has an identifier.
+Null payloads are empty. Of rows that repeat a page_id each has its own record, of the type that its payload asks for.
+Rows without page_id have the identifier `none`; they never stand for others unless no row with the same payload has an
+identifier.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import scratch, staged, table
@@ -149,25 +150,26 @@ def records(frame: bytes) -> Iterator[tuple[dict[str, str], dict[str, str], memo
         at = begin + size + 4
 
 
+def _digest(payload: Column) -> Column:
+    """The digest of a payload that may be replaced by a revisit record, else null."""
+    return F.when(F.octet_length(payload) >= LEAST_PAYLOAD, F.unhex(F.sha2(payload, 256)))
+
+
 def revisits(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, refers_to) of the rows that another row with an equal payload stands for."""
+    """(key, payload digest, refers_to) of the rows that another row with an equal payload stands for."""
     payload = F.encode(F.coalesce(html, F.lit("")), "UTF-8")
-    facts = pages.select(F.col(key).alias("_id"), F.when(F.octet_length(payload) >= LEAST_PAYLOAD, F.unhex(F.sha2(payload, 256))).alias("d")).where("d is not null")
+    facts = pages.select(F.col(key).alias("_id"), _digest(payload).alias("d")).where("d is not null")
     groups = facts.groupBy("d").agg(F.min("_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     found = facts.join(groups.select("d", "first"), "d").where("not (_id <=> first)")
-    return found.select("_id", "first").distinct()
+    return found.select("_id", "d", "first").distinct()
 
 
 def write_bundles(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Write a record for each row and return the index (page_id, path, frame, offset, length) as a written table."""
     later = revisits(pages, key, html)
-    rows = pages.select(F.col(key).alias("_id"), F.col(url).alias("_url"), F.encode(F.coalesce(html, F.lit("")), "UTF-8").alias("_body"))
-    placed = rows.where("_id is not null").join(later.where("_id is not null"), "_id", "left").select("_id", "_url", "_body", "first")
-    nulls = later.where("_id is null").select("first").distinct()  # rows without id match by payload, which only a few need
-    loose = rows.where("_id is null").select("_id", "_url", "_body", F.unhex(F.sha2("_body", 256)).alias("d"), F.octet_length("_body").alias("n"))
-    payload = F.encode(F.coalesce(html, F.lit("")), "UTF-8")
-    keyed = pages.where(F.col(key).isNotNull()).select(F.col(key).alias("first"), F.unhex(F.sha2(payload, 256)).alias("d")).join(nulls, "first", "left_semi").distinct()
-    loose = loose.join(keyed, (loose["d"] == keyed["d"]) & (loose["n"] >= LEAST_PAYLOAD), "left").select("_id", "_url", "_body", "first")
+    rows = pages.select(F.col(key).alias("_id"), F.col(url).alias("_url"), F.encode(F.coalesce(html, F.lit("")), "UTF-8").alias("_body")).withColumn("d", _digest(F.col("_body")))
+    placed = rows.where("_id is not null").join(later.where("_id is not null"), ["_id", "d"], "left").select("_id", "_url", "_body", "first")
+    loose = rows.where("_id is null").join(later.where("_id is null").select("d", "first"), "d", "left").select("_id", "_url", "_body", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()

@@ -219,6 +219,19 @@ def test_warc(spark):
     assert warc.read_bundles(warc.write_bundles(df.limit(0), _common.scratch(spark, "test-warc"))).count() == 0
 
 
+def test_warc_of_repeated_ids(spark):
+    duckdb = pytest.importorskip("duckdb")
+    a, b, c = "a" * 200, "b" * 300, "c" * 150
+    pages = [(1, "u", a), (2, "u", b), (5, "u", a), (5, "u", c), (5, "u", b), (5, "u", a), (5, "u", "tiny"), (2, "u", c), (6, "u", c), (None, "u", b), (None, "u", "none else" * 20)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    index = warc.write_bundles(df, _common.scratch(spark, "test-warc"))
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", pages)
+    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert collections.Counter(map(tuple, warc.read_bundles(index).select(*cols).collect())) == collections.Counter(con.execute(warc.OP3_SQL).fetchall())
+
+
 # --- 4 ------------------------------------------------------------------------------------------------------------
 
 
