@@ -208,8 +208,9 @@ def parse_ordered(logs: DataFrame, generator: Callable[[Column], Column] = signa
 
 def parse_sequences(rows: DataFrame, bank: DataFrame, separator: str = " ;-; ") -> DataFrame:
     """rows (dataset, ord, content of many logs) with Template: the templates of its logs in order, failed ones empty."""
-    parts = rows.select("dataset", "ord", F.posexplode(T.split_sequence(F.col("content"))).alias("pos", "content")).withColumn("seq", F.col("ord"))
-    single = parts.select("dataset", (F.col("seq") * 1_000_000 + F.col("pos")).alias("ord"), F.col("pos").cast("long").alias("line_id"), "content", F.lit(None).cast("string").alias("event_template"))
-    done = parse_sets(single, bank).select("dataset", F.floor(F.col("ord") / 1_000_000).cast("long").alias("ord"), "line_id", "predicted_template")
+    parts = rows.select("dataset", "ord", F.posexplode(T.split_sequence(F.col("content"))).alias("pos", "content"))
+    # ord names the row and line_id the place in it, so a log of parse_sets has both
+    single = parts.select("dataset", "ord", F.col("pos").cast("long").alias("line_id"), "content", F.lit(None).cast("string").alias("event_template"))
+    done = parse_sets(single, bank).select("dataset", "ord", "line_id", "predicted_template")
     joined = done.groupBy("dataset", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", "predicted_template"))), lambda x: x["predicted_template"]), separator).alias("Template"))  # the logs of one row
     return rows.join(joined, ["dataset", "ord"], "left").withColumn("Template", F.coalesce("Template", F.lit("")))

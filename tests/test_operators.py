@@ -136,6 +136,15 @@ def test_sequences(spark):
     assert got == {0: "user <*> logged in from host <*> ;-; ping", 1: ""}
 
 
+def test_long_sequences(spark):
+    bank = logs(spark, [("user 1 logged in from host 22", "user <*> logged in from host <*>")])
+    many = 1_000_001
+    rows = spark.createDataFrame([("d", 0, "ping ;-; " * many + "pong"), ("d", 1, "user 4 logged in from host 5"), ("d", 10**14, "ping")], "dataset string, ord bigint, content string")
+    got = {r["ord"]: r["Template"] for r in parse.parse_sequences(rows, bank).collect()}
+    assert got[0] == "ping ;-; " * many + "pong"
+    assert {k: v for k, v in got.items() if k} == {1: "user <*> logged in from host <*>", 10**14: "ping"}
+
+
 def test_csv_round_trip(spark, tmp_path):
     for name in ("A", "B"):
         (tmp_path / name).mkdir()
