@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import mix, table
+from ._common import mix, staged, table
 from ._links import classes
 
 #: 45 bands of 7 coordinates miss a pair of similarity 0.8 once in 40,000 times and one of 0.85 once in 10 million.
@@ -87,13 +87,19 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without all but the smallest id of each class; rows without an id stay, rows that repeat an id once."""
-    kept = near_classes(docs, key, text).where(F.col(key) == F.col("class_id")).select(F.col(key).alias("k"))
+    """docs without all but the smallest id of each class; rows without an id stay. Rows that repeat an id are rows of
+    their own, compared by their texts like any others."""
     named = docs.where(F.col(key).isNotNull())
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     if named.groupBy(key).count().where("count > 1").limit(1).count():
-        named = named.dropDuplicates([key])
-    row = named.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("k"))
-    return row.join(kept, "k", "left_semi").select("row.*").unionByName(docs.where(F.col(key).isNull()))
+        # numbered in a written table, so that every pass sees the same numbers
+        rows = staged(named.dropDuplicates([key, text]).select(row, F.monotonically_increasing_id().alias("k")), "keyed")
+        found = rows.select("k", F.col(f"row.`{key}`").alias("id")).join(near_classes(rows, "k", f"row.`{text}`"), "k")
+        kept = found.groupBy("class_id").agg(F.min(F.struct("id", "k"))["k"].alias("k")).select("k")
+    else:
+        rows = named.select(row, F.col(key).cast("long").alias("k"))
+        kept = near_classes(docs, key, text).where(F.col(key) == F.col("class_id")).select(F.col(key).alias("k"))
+    return rows.join(kept, "k", "left_semi").select("row.*").unionByName(docs.where(F.col(key).isNull()))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

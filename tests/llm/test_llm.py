@@ -160,6 +160,15 @@ def test_near_classes_of_odd_rows(spark):
     assert dart_minhash.near_classes(docs(spark, []).limit(0)).count() == 0
 
 
+def test_keep_one_of_repeated_ids(spark):
+    r = random.Random(15)
+    a, b, c, d = (prose(r, 40) for _ in range(4))
+    rows = [(1, a), (5, b), (5, c), (5, a + " more"), (7, c), (5, b), (5, d), (9, d + " more"), (9, None), (9, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC).repartition(3)
+    got = [(x["doc_id"], x["text"]) for x in dart_minhash.keep_one(df).collect()]
+    assert collections.Counter(got) == collections.Counter([(1, a), (5, b), (5, c), (5, d), (9, None), (9, "")])
+
+
 def test_darts_estimate_weighted_similarity():
     r = random.Random(3)
     a = [r.randrange(2**60) for _ in range(300)]
