@@ -6,7 +6,8 @@ hashed to K coordinates and the earliest of each coordinate is kept. The rank is
 weight, and doubles for the few documents whose coordinates are not all hit, so long documents throw no more darts than
 short ones. Two documents agree in a coordinate with the probability of their weighted Jaccard similarity.
 
-Weights are whole numbers here: the count of a word 5-gram in its document (a document of fewer words is one shingle).
+Weights are whole numbers here: the count of a word 5-gram in its document (a document of fewer words is one shingle), so
+a region is a pair of shingle and occurrence number, and weighted Jaccard similarity is that of the sets of regions.
 Null and empty documents get no signature and stay classes of their own; ties go to the smaller doc_id.
 """
 
@@ -29,18 +30,6 @@ def _unit(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def units(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The row and the region (element and unit of weight) of every shingle occurrence."""
-    row = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
-    order = np.lexsort((h, row))
-    r, e = row[order], h[order]
-    new = np.ones(len(e), bool)
-    new[1:] = (e[1:] != e[:-1]) | (r[1:] != r[:-1])
-    begin = np.maximum.accumulate(np.where(new, np.arange(len(e)), 0))
-    unit = (np.arange(len(e)) - begin).astype(np.uint64)
-    return r, mix(e + mix(unit + np.uint64(1)))
-
-
 def darts(row: np.ndarray, region: np.ndarray, limit: np.ndarray, k: int, out: np.ndarray) -> None:
     """Throw the darts of every region up to its row's limit; out[row, coordinate] keeps the least rank."""
     rank, number = np.zeros(len(row)), 0
@@ -54,10 +43,10 @@ def darts(row: np.ndarray, region: np.ndarray, limit: np.ndarray, k: int, out: n
         np.minimum.at(flat, row * k + (mix(draw) % np.uint64(k)).astype(np.int64), rank)
 
 
-def signatures(h: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
-    """Ranks of the earliest dart in each of k coordinates for rows of shingle hashes; every row has one or more."""
+def signatures(region: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """Ranks of the earliest dart in each of k coordinates for rows of regions; every row has one or more."""
     out = np.full((len(counts), k), np.inf)
-    row, region = units(h, counts)
+    row = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
     limit = k * (math.log(k) + 2) / counts
     todo = np.arange(len(counts))
     while len(todo):
@@ -77,8 +66,8 @@ def band_keys(ranks: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(key)
 
 
-def signer(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    return band_keys(signatures(h, counts, BANDS * ROWS), BANDS, ROWS)
+def signer(region: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return band_keys(signatures(region, counts, BANDS * ROWS), BANDS, ROWS)
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:

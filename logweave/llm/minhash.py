@@ -66,7 +66,7 @@ def edited(text: str, following: str) -> str:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """(key, class_id) by bands of lanes, verified: the general form of this operator."""
+    """(key, class_id) by bands of lanes, verified on the shingle sets: the general form of this operator."""
 
     def signer(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
         lanes = signatures(h, counts, BANDS * ROWS).reshape(len(counts), BANDS, ROWS)
@@ -75,7 +75,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
             band = mix(band ^ lanes[:, :, i]) * np.uint64(0xD1342543DE82EF95)
         return mix(band)
 
-    return classes(docs, signer, key, text, threshold=threshold, label="minhash")
+    return classes(docs, signer, key, text, threshold=threshold, weighted=False, label="minhash")
 
 
 def in_runs(docs: DataFrame, key: str, text: str) -> DataFrame:

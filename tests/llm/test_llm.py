@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logweave.llm import _common, bpe, dart_minhash, hash_forest, minhash, mixing, secret_scan, subword, suffix_dedup, toxicity, warc
+from logweave.llm import _common, _links, bpe, dart_minhash, hash_forest, minhash, mixing, secret_scan, subword, suffix_dedup, toxicity, warc
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LONG = "word and more " * 20_000
@@ -127,8 +127,8 @@ def test_isotonic_rises():
 # --- 2, 10 --------------------------------------------------------------------------------------------------------
 
 
-def brute_classes(texts):
-    s = [shingles(t) for t in texts]
+def brute_classes(texts, weighted=True):
+    s = [shingles(t) if weighted else collections.Counter(set(shingles(t))) for t in texts]
     root = list(range(len(texts)))
 
     def find(x):
@@ -145,10 +145,27 @@ def brute_classes(texts):
 
 
 @pytest.mark.parametrize("how", [dart_minhash.near_classes, minhash.near_duplicates])
-def test_near_classes_equal_brute_force(spark, how):
-    texts = families()
-    got = {r["doc_id"]: r["class_id"] for r in how(docs(spark, texts)).collect()}
-    assert got == brute_classes(texts)
+@pytest.mark.parametrize("work", [_links.WORK, 30_000, 300])
+def test_near_classes_equal_brute_force(spark, how, work, monkeypatch):
+    """Clusters whole, dealt by bucket, and buckets dealt in parts give the same classes."""
+    monkeypatch.setattr(_links, "WORK", work)
+    r = random.Random(21)
+    base = prose(r, 60).split()
+    # one large group under and over the threshold, and texts that differ in how often they repeat a passage
+    group = [" ".join("new%d" % r.randrange(999) if r.random() < p else w for w in base) for p in (0.01, 0.02, 0.03, 0.05) for _ in range(40)]
+    again = [" ".join(base[:9] * n) for n in (3, 4, 5, 10, 11, 20)]
+    texts = families() + group + again
+    got = {x["doc_id"]: x["class_id"] for x in how(docs(spark, texts)).collect()}
+    assert got == brute_classes(texts, how is dart_minhash.near_classes)
+
+
+def test_near_classes_of_repeated_ids(spark):
+    """An id with several texts has the links of all of them."""
+    r = random.Random(22)
+    a, b, c = (prose(r, 40) for _ in range(3))
+    rows = [(1, a), (2, b), (5, a + " more"), (5, b), (7, c), (8, c + " more"), (9, c), (9, "unlike")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC)
+    assert {x["doc_id"]: x["class_id"] for x in dart_minhash.near_classes(df).collect()} == {1: 1, 2: 1, 5: 1, 7: 7, 8: 7, 9: 7}
 
 
 def test_near_classes_of_odd_rows(spark):
@@ -174,7 +191,7 @@ def test_darts_estimate_weighted_similarity():
     a = [r.randrange(2**60) for _ in range(300)]
     b = a[:200] + [r.randrange(2**60) for _ in range(100)] + a[:50]
     h, n = np.array(a + b, np.uint64), np.array([len(a), len(b)])
-    s = dart_minhash.signatures(h, n, 512)
+    s = dart_minhash.signatures(*_links.regions(h, n, True), 512)
     want = likeness(collections.Counter(a), collections.Counter(b))
     assert abs((s[0] == s[1]).mean() - want) < 0.08
 
