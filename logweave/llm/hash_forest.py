@@ -1,17 +1,19 @@
 """Approximate nearest neighbours (operator 5): a hash-prefix forest.
 
 Each tree gives every vector a long string of bits (signs of projections on random directions). A shard of rows keeps, for
-each tree, its strings sorted. A query descends to the longest prefix it shares with a string of each tree; then all
-trees ascend together, one bit at a time, until the ranges that match hold ENOUGH of the shard's rows, counted with
-repeats over the trees. The union of the ranges is the candidate set, and candidates are ranked by the exact inner product
-in double precision.
+each tree, its strings sorted. A query descends to the longest prefix it shares with strings of the trees; then all
+trees ascend together, one bit at a time, until the ranges that match hold enough distinct rows other than its own: the
+share ENOUGH of the shard, LEAST rows at least, and all rows where there are no more. Candidates are ranked by the exact
+inner product in double precision.
 
 Inner products become angles by one more coordinate, sqrt(M^2 - |x|^2), M the largest norm. Rows and queries are dealt
 to shards and blocks of bounded size by a hash, and every shard meets every block, so no query's candidates are capped by
 where a row lies, and results of shards are merged by rank.
 
 Vectors that are null, zero, or hold null or non-finite components take no part. Vectors of different lengths never
-meet. Rows that repeat a vec_id count once (the least vector); rows without vec_id take no part. Extra columns are ignored.
+meet. Rows that repeat a vec_id count once (the least vector); rows without vec_id take no part. Of equal vectors only the
+k + 1 least vec_ids can be among the k nearest of a query, so no others are indexed, and copies shadow nothing. Extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from ._common import staged, table
 
-TREES, BITS, ENOUGH = 96, 32, 1.5
-SHARD_ROWS, BLOCK_QUERIES = 8192, 2048
+TREES, BITS, ENOUGH, LEAST = 320, 32, 0.24, 800
+SHARD_ROWS, BLOCK_QUERIES = 8192, 8192
 
 
 def directions(dim: int, trees: int = TREES, seed: int = 55) -> np.ndarray:
@@ -64,29 +66,40 @@ class Forest:
         hi = np.stack([np.searchsorted(k, b, "left") for k, b in zip(self.keys.astype(np.uint64), high, strict=True)])
         return lo, hi
 
-    def candidates(self, queries: np.ndarray, enough: float) -> list[np.ndarray]:
-        """For each query the rows of its ranges at the depth where all trees together hold enough."""
+    def candidates(self, queries: np.ndarray, own: np.ndarray, wanted: int) -> list[np.ndarray]:
+        """For each query the rows of its ranges at the depth where all trees together hold `wanted` distinct rows, its own
+        (a position, or -1) not counted and left out; all others if there are fewer."""
         h = strings(np.column_stack([queries, np.zeros(len(queries))]), self.planes)
-        wanted = enough * len(self.x)
-        # synchronous ascent: the deepest common length whose ranges hold enough, found by bisection over the lengths
+        # ranges with repeats hold no fewer rows than distinct ones: the ascent begins where those are enough
         short, long = np.zeros(len(queries), np.int64), np.full(len(queries), BITS + 1)
         while (long - short > 1).any():
             mid = (short + long) // 2
             lo, hi = self.ranges(h, mid)
             good = (hi - lo).sum(axis=0) >= wanted
             short, long = np.where(good, mid, short), np.where(good, long, np.maximum(mid, short + 1))
-        lo, hi = self.ranges(h, short)
-        out = []
-        for q in range(len(queries)):
-            mask = np.zeros(len(self.x), bool)
-            for t, (a, b) in enumerate(zip(lo[:, q].tolist(), hi[:, q].tolist(), strict=True)):
-                if b > a:
-                    mask[self.order[t, a:b]] = True
-            out.append(np.flatnonzero(mask))
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
+        todo, n = np.arange(len(queries)), len(self.x)
+        places, tree = self.order.ravel(), np.arange(len(self.order))[:, None] * n
+        while len(todo):
+            lo, hi = self.ranges(h[:, todo], short[todo])
+            again = []
+            for j, q in enumerate(todo.tolist()):
+                many = hi[:, j] - lo[:, j]
+                stops = np.cumsum(many)
+                mask = np.zeros(n, bool)
+                mask[places[np.repeat(tree[:, 0] + lo[:, j] - (stops - many), many) + np.arange(stops[-1])]] = True
+                if own[q] >= 0:
+                    mask[own[q]] = False
+                if np.count_nonzero(mask) >= wanted or short[q] == 0:
+                    out[q] = np.flatnonzero(mask)
+                else:
+                    again.append(q)
+            todo = np.array(again, np.int64)
+            short[todo] -= 1
         return out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", column: str = "embedding", enough: float = ENOUGH) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", column: str = "embedding", enough: float = ENOUGH, least: int = LEAST) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of each query, its own key left out."""
 
     def clean(df: DataFrame) -> DataFrame:
@@ -94,7 +107,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
         fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
         return df.where(F.col(key).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(key).cast("long").alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
 
-    rows, asked = staged(clean(vectors), "vectors"), staged(clean(queries), "queries")
+    copy = F.row_number().over(W.partitionBy("v").orderBy("id"))
+    rows, asked = staged(clean(vectors).withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy"), "vectors"), staged(clean(queries), "queries")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     n, largest, m = *rows.agg(F.count("*"), F.max(norm)).first(), asked.count()
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-m // BLOCK_QUERIES))
@@ -112,9 +126,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
         found: list[tuple] = []
         if len(ids) and len(who):
             forest = Forest(x, largest, directions(x.shape[1]))
+            by_id = np.argsort(ids, kind="stable")
+            at = np.minimum(np.searchsorted(ids[by_id], who), len(ids) - 1)
+            own = np.where(ids[by_id][at] == who, by_id[at], -1)
+            wanted = max(k, least, int(enough * len(ids)))
             for at in range(0, len(who), 256):
-                for j, rows_ in enumerate(forest.candidates(q[at : at + 256], enough), at):
-                    rows_ = rows_[ids[rows_] != who[j]]
+                for j, rows_ in enumerate(forest.candidates(q[at : at + 256], own[at : at + 256], wanted), at):
                     score = np.einsum("ij,j->i", x[rows_], q[j])
                     best = np.lexsort((ids[rows_], -score))[:k]
                     found.append((np.full(len(best), who[j]), ids[rows_][best], score[best]))

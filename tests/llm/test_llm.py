@@ -340,6 +340,42 @@ def test_nearest(spark):
     assert hash_forest.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def brute_nearest(x, queries, k):
+    out = {}
+    for q in queries:
+        s = x @ x[q]
+        out[q] = [(i, s[i]) for i in sorted((i for i in range(len(x)) if i != q), key=lambda i: (-s[i], i))[:k]]
+    return out
+
+
+@pytest.mark.parametrize("shard", [8192, 40])
+def test_nearest_of_small_tables_is_exact(spark, shard, monkeypatch):
+    """Few rows, several shards and copies of one vector: every query gets its 20 nearest, or all there are."""
+    monkeypatch.setattr(hash_forest, "SHARD_ROWS", shard)
+    r = np.random.default_rng(9)
+    for n in (1, 2, 5, 21, 30, 100):
+        x = r.normal(size=(n, 8))
+        x[n // 2 :: 3] = x[0]
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+        got = collections.defaultdict(list)
+        for q in hash_forest.nearest(df, df.where("vec_id % 5 = 0"), 20).orderBy("query_id", "rank").collect():
+            got[q["query_id"]].append((q["vec_id"], q["score"]))
+        want = brute_nearest(x, range(0, n, 5), 20)
+        assert {q: [i for i, _ in f] for q, f in got.items()} == {q: [i for i, _ in f] for q, f in want.items() if f}
+
+
+def test_forest_ranks_a_part_of_a_shard():
+    r = np.random.default_rng(10)
+    x = r.normal(size=(8000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    asked = np.arange(0, 8000, 100)
+    found = hash_forest.Forest(x, 1.0, hash_forest.directions(32)).candidates(x[asked], asked, int(hash_forest.ENOUGH * 8000))
+    best = [{i for i, _ in f} for f in brute_nearest(x, asked.tolist(), 20).values()]
+    assert np.mean([len(b & set(f.tolist())) / 20 for b, f in zip(best, found, strict=True)]) >= 0.9
+    assert all(len(f) >= hash_forest.ENOUGH * 8000 and q not in f for q, f in zip(asked, found, strict=True))
+    assert np.mean([len(f) for f in found]) <= 0.4 * 8000
+
+
 # --- 6 ------------------------------------------------------------------------------------------------------------
 
 
