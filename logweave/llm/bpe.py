@@ -1,8 +1,9 @@
 """BPE encoding and decoding (operator 4): a bounded-lookahead streaming transducer.
 
-Merging is done over numpy arrays for many words at once: in each round every word merges all places of its
-lowest-ranked pair. A word longer than a window goes through `Transducer`, which reads symbols piece by piece and emits
-the tokens that no later symbol can change.
+Pre-tokens (words) go through `Transducer`, many at once: it reads a window and the lookahead of each word, merges them
+over numpy arrays (in each round every word merges all places of its lowest-ranked pair), emits the tokens that no later
+symbol can change, and goes on behind them. A word that ends inside its window is done in one step, by the same code. A
+bounded memory of words saves repeated ones.
 
 How far a later symbol reaches back (the sufficient lookahead) is computed from the merge list. Take two inputs that
 agree up to a place and apply the merges in rank order. The place where their token rows first differ moves left only
@@ -10,18 +11,21 @@ when a merge (u, v) finds u just left of it and v just right of it in one of the
 next merge that moves it needs a right part which begins, in the derivation, with that u. So the longest chain of merges
 of rising rank, each with the former's u on the left spine of its v, bounds the sum of the lengths.
 
-Null texts count as empty (no tokens). Texts of any length are read in pieces cut at blanks.
+Ids are decoded by `TextDecoder`, an incremental machine from bytes to text whose state is what a character still lacks.
+
+Null texts count as empty (no tokens). Texts of any length are read in pieces cut at blanks. Rows that repeat are rows
+each; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import codecs
-import functools
 import hashlib
+import itertools
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +67,10 @@ class Merges:
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self._hash_pairs()
         self.lookahead = self._sufficient_lookahead()
-        self.letter_bytes = {x: b for b, x in enumerate(letters)}
+        byte = {x: b for b, x in enumerate(letters)}
+        #: The bytes that a token shows, and those that it stands for.
+        self.shown_bytes = [t.encode() for t in self.tokens]
+        self.raw_bytes = [t.encode() if t in self.specials else bytes(byte[x] for x in t.removesuffix(self.end)) + b" " * (bool(self.end) and t.endswith(self.end)) for t in self.tokens]
 
     def _hash_pairs(self) -> None:
         bits = max(4, int(np.ceil(np.log2(len(self.left) * 3))))
@@ -161,58 +168,84 @@ class Merges:
 
 
 class Transducer:
-    """Encodes one word whose bytes arrive in pieces; holds at most a window and the lookahead."""
+    """Encodes words whose bytes arrive in pieces; looks at a window and the lookahead of each word at most."""
 
     def __init__(self, merges: Merges, window: int = 1024):
-        self.merges, self.window = merges, window
+        self.merges, self.window, self.reach = merges, window, window + merges.lookahead
         self.held = np.zeros(0, np.int64)
+        #: Symbols that each token covers.
+        self.covers = np.array([len(t.removesuffix(merges.end)) if merges.end else len(t) for t in merges.tokens], np.int64)
+
+    def step(self, symbols: np.ndarray, sizes: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words given as rows of symbols, one after the other: the tokens now stable, how many of each word, and how many
+        symbols they cover. All tokens of words that are whole are stable, else those that end in the window."""
+        tokens, many = self.merges.merge(symbols, sizes)
+        covers = np.concatenate([[0], np.cumsum(self.covers[tokens])])
+        first = np.cumsum(many) - many
+        stable = np.repeat(whole, many) | (covers[1:] - np.repeat(covers[first], many) <= self.window)
+        kept = np.concatenate([[0], np.cumsum(stable)])
+        many = kept[first + many] - kept[first]
+        return tokens[stable], many, covers[first + many] - covers[first]
+
+    def encode(self, data: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+        """The tokens of words given as rows of bytes, each with a last byte of its own."""
+        out: list[list[int]] = [[] for _ in sizes]
+        ends = np.cumsum(sizes)
+        at, open_ = ends - sizes, np.arange(len(sizes))
+        while len(open_):
+            # as many words as make a million symbols
+            size = np.minimum(ends[open_] - at[open_], self.reach)
+            now = open_[: max(1, int(np.searchsorted(np.cumsum(size), 1 << 20, side="right")))]
+            size = size[: len(now)]
+            stops = np.cumsum(size)
+            place = np.repeat(at[now] - (stops - size), size) + np.arange(stops[-1])
+            symbols = self.merges.plain[data[place]]
+            whole = at[now] + size == ends[now]
+            last = stops[whole] - 1
+            symbols[last] = self.merges.final[data[place[last]]]
+            tokens, many, taken = self.step(symbols, size, whole)
+            begin, flat = 0, tokens.tolist()
+            for k, to in zip(now.tolist(), np.cumsum(many).tolist(), strict=True):
+                out[k] += flat[begin:to]
+                begin = to
+            at[now] += taken
+            open_ = np.concatenate([now[~whole], open_[len(now) :]])
+        return out
 
     def feed(self, data: bytes) -> list[int]:
-        """Take bytes that are not the word's last and return the tokens now stable."""
+        """Of one word: take bytes that are not its last and return the tokens now stable."""
         self.held = np.concatenate([self.held, self.merges.plain[np.frombuffer(data, np.uint8)]])
         out: list[int] = []
-        while len(self.held) >= self.window + self.merges.lookahead:
-            part = self.held[: self.window + self.merges.lookahead]
-            tokens, _ = self.merges.merge(part, np.array([len(part)]))
-            ends = np.cumsum([self._length(t) for t in tokens.tolist()])
-            stable = int(np.searchsorted(ends, self.window, side="right"))
-            out += tokens[:stable].tolist()
-            self.held = self.held[ends[stable - 1] :]
+        while len(self.held) >= self.reach:
+            tokens, _, taken = self.step(self.held[: self.reach], np.array([self.reach]), np.zeros(1, bool))
+            out += tokens.tolist()
+            self.held = self.held[taken[0] :]
         return out
 
     def finish(self, data: bytes) -> list[int]:
         """The rest of the word, with its end, and all tokens not yet given."""
         out = self.feed(data[:-1])
         last = self.merges.final[np.frombuffer(data[-1:], np.uint8)]
-        tokens, _ = self.merges.merge(np.concatenate([self.held, last]), np.array([len(self.held) + 1]))
+        tokens, _, _ = self.step(np.concatenate([self.held, last]), np.array([len(self.held) + 1]), np.ones(1, bool))
         self.held = self.held[:0]
         return out + tokens.tolist()
 
-    @functools.lru_cache(maxsize=1 << 16)  # noqa: B019
-    def _length(self, token: int) -> int:
-        text = self.merges.tokens[token]
-        end = self.merges.end
-        return len(text[: -len(end)] if end and text.endswith(end) else text)
-
 
 class TextDecoder:
-    """Byte-to-text state machine: tokens come in pieces; bytes wait until they form a character."""
+    """Byte-to-text state machine: ids come in pieces; bytes wait until they form a character.
+
+    A vocabulary without a decoder shows its strings as they are, with blanks between them; with raw=True the letters
+    stand for bytes and a word's end for a blank."""
 
-    def __init__(self, merges: Merges):
-        self.merges, self.state = merges, codecs.getincrementaldecoder("utf-8")("replace")
+    def __init__(self, merges: Merges, raw: bool = False):
+        self.table, self.between = (merges.raw_bytes, b"") if raw else (merges.shown_bytes, b" ")
+        self.state, self.begun = codecs.getincrementaldecoder("utf-8")("replace"), False
 
-    def feed(self, ids: Iterable[int], last: bool = False) -> str:
-        m, out = self.merges, bytearray()
-        for i in ids:
-            token = m.tokens[i]
-            if token in m.specials:
-                out += token.encode()
-                continue
-            word_end = bool(m.end) and token.endswith(m.end)
-            out += bytes(m.letter_bytes[x] for x in (token[: -len(m.end)] if word_end else token))
-            if word_end:
-                out += b" "
-        return self.state.decode(bytes(out), last)
+    def feed(self, ids: Sequence[int], last: bool = False) -> str:
+        data = self.between.join(map(self.table.__getitem__, ids))
+        if ids:
+            data, self.begun = (self.between + data if self.begun else data), True
+        return self.state.decode(data, last)
 
 
 _ASCII = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -229,12 +262,12 @@ _SIGMA = "Σ"
 class Encoder:
     """Texts to token ids with a bounded memory of words; `piece` is the most characters read at once."""
 
-    def __init__(self, path: str, most_words: int = 200_000, piece: int = 1 << 20, long_word: int = 256):
+    def __init__(self, path: str, most_words: int = 200_000, piece: int = 1 << 20, window: int = 1024):
         self.merges = Merges(path)
-        self.most, self.piece, self.long_word = most_words, piece, long_word
-        #: The ids of a word as text, and the decoded text of such ids.
-        self.known: dict[str, str] = {}
-        self.shown: dict[str, str] = {}
+        self.transducer = Transducer(self.merges, window)
+        self.most, self.piece = most_words, piece
+        #: The ids of a word, and the same as text.
+        self.known: dict[str, tuple[list[int], str]] = {}
         marks = "|".join(re.escape(x) for x in sorted(self.merges.specials, key=len, reverse=True))
         self.marks = re.compile(f"({marks})") if marks else None
 
@@ -262,43 +295,19 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Encode words not yet known, all at once."""
-        short: list[str] = []
-        for w in words.difference(self.known):
+        new = list(words.difference(self.known))
+        for w in new:
             if w[0] == "\0" and w[1:] in self.merges.specials:
-                self._keep(w, [self.merges.specials[w[1:]]])
-            elif len(w) > self.long_word:
-                self._keep(w, self._long(w))
-            else:
-                short.append(w)
-        for at in range(0, len(short), 20_000):
-            some = short[at : at + 20_000]
+                one = self.merges.specials[w[1:]]
+                self.known[w] = [one], str(one)
+        new = [w for w in new if w not in self.known]
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
             raw = [w.encode("utf-8", "surrogatepass") for w in some]
-            data = np.frombuffer(b"".join(raw), np.uint8)
-            sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-            symbols = self.merges.plain[data]
-            last = np.cumsum(sizes) - 1
-            symbols[last] = self.merges.final[data[last]]
-            tokens, many = self.merges.merge(symbols, sizes)
-            flat = tokens.tolist()
-            ids = list(map(self.merges.id_text.__getitem__, flat))
-            strings = list(map(self.merges.tokens.__getitem__, flat))
-            known, shown, begin = self.known, self.shown, 0
-            for w, to in zip(some, np.cumsum(many).tolist(), strict=True):
-                known[w] = key = " ".join(ids[begin:to])
-                shown[key] = " ".join(strings[begin:to])
-                begin = to
-
-    def _keep(self, word: str, ids: Iterable[int]) -> None:
-        ids = list(ids)
-        self.known[word] = key = " ".join(map(str, ids))
-        self.shown[key] = self.decode(ids)
-
-    def _long(self, word: str) -> Iterator[int]:
-        stream, data = Transducer(self.merges), word.encode("utf-8", "surrogatepass")
-        while len(data) > 4096:
-            yield from stream.feed(data[:4096])
-            data = data[4096:]
-        yield from stream.finish(data)
+            found = self.transducer.encode(np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw)))
+            text = self.merges.id_text.__getitem__
+            for w, ids in zip(some, found, strict=True):
+                self.known[w] = ids, " ".join(map(text, ids))
 
     def pieces(self, text: str) -> Iterator[str]:
         """The text in parts of about `piece` characters, cut after blanks."""
@@ -311,42 +320,38 @@ class Encoder:
             at = to
         yield text[at:] if at else text
 
-    def encode_batch(self, texts: list[str]) -> list[list[str]]:
-        """For each text the ids of each pre-token, as text; the texts should hold a few million characters at most."""
+    def encode_batch(self, texts: list[str]) -> list[list[tuple[list[int], str]]]:
+        """For each text the ids of each pre-token, also as text; the texts should hold a few million characters at most."""
         if len(self.known) > self.most:
             self.known.clear()
-            self.shown.clear()
         split = [self.words(x) for x in texts]
         self.learn(set().union(*split))
         get = self.known.__getitem__
         return [list(map(get, words)) for words in split]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for part in self.pieces(text) for ids in self.encode_batch([part])[0] for i in ids.split(" ")]
-
-    def decode(self, ids: Iterable[int]) -> str:
-        """As the library without a decoder: the vocabulary's strings joined by blanks."""
-        return " ".join(map(self.merges.tokens.__getitem__, ids))
+        return [i for part in self.pieces(text) for ids, _ in self.encode_batch([part])[0] for i in ids]
 
-    def decode_groups(self, groups: list[str]) -> str:
-        """The same from ids in groups as encode_batch has just given them; what a group decodes to is kept with it."""
-        return " ".join(map(self.shown.__getitem__, groups))
+    def decode(self, ids: Sequence[int]) -> str:
+        """As the library: skip_special_tokens=False."""
+        return TextDecoder(self.merges).feed(ids, last=True)
 
 
 class _Digest:
     """Digests of a text's ids and of its decoded text, fed by pieces."""
 
     def __init__(self, encoder: Encoder):
-        self.encoder, self.count, self.ids, self.text = encoder, 0, hashlib.sha256(), hashlib.sha256()
+        self.decoder, self.count, self.ids, self.text = TextDecoder(encoder.merges), 0, hashlib.sha256(), hashlib.sha256()
 
-    def feed(self, groups: list[str]) -> None:
+    def feed(self, groups: list[tuple[list[int], str]]) -> None:
         if groups:
-            lead, ids = b" " * bool(self.count), " ".join(groups)
-            self.ids.update(lead + ids.encode())
-            self.text.update(lead + self.encoder.decode_groups(groups).encode())
-            self.count += ids.count(" ") + 1
+            ids = list(itertools.chain.from_iterable(x for x, _ in groups))
+            self.ids.update((" " * bool(self.count) + " ".join([x for _, x in groups])).encode())
+            self.text.update(self.decoder.feed(ids).encode())
+            self.count += len(ids)
 
     def row(self) -> tuple[int, str, str]:
+        self.text.update(self.decoder.feed([], last=True).encode())
         return self.count, self.ids.hexdigest(), self.text.hexdigest()
 
 
@@ -397,7 +402,6 @@ def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([keys, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
         # a worker may live on for other queries
         enc.known.clear()
-        enc.shown.clear()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -298,12 +298,33 @@ def test_bpe_streams(encoder, library):
         assert out == library.encode(word, add_special_tokens=False).ids
 
 
-def test_byte_to_text_machine(encoder):
+def test_every_word_goes_through_the_transducer(encoder, library):
+    """Windows and pieces of every size give the library's ids, and no word but by way of `step`."""
+    r = random.Random(23)
+    words = ["".join(r.choice("abcdehinorst") for _ in range(n)) for n in (1, 2, 9, 63, 64, 65, 700, 731, 732, 2500)] + ["é" * 500, "hello" * 300]
+    want = [library.encode(w, add_special_tokens=False).ids for w in words]
+    raw = [w.encode() for w in words]
+    for window in (64, 100, 1024):
+        machine, seen = bpe.Transducer(encoder.merges, window), []
+        step = machine.step
+        machine.step = lambda a, b, c: seen.append(int(b.max())) or step(a, b, c)  # noqa: B023
+        assert machine.encode(np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw])) == want
+        assert seen and max(seen) <= window + encoder.merges.lookahead
+    small = bpe.Encoder(bpe.vocabulary(), piece=40, window=64)
+    text = " ".join(words) + " and 12 more"
+    assert small.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_byte_to_text_machine(encoder, library):
     text = "grüße, 漢字 😀 and more"
     ids = encoder.encode(text)
-    machine = bpe.TextDecoder(encoder.merges)
+    machine = bpe.TextDecoder(encoder.merges, raw=True)
     got = "".join(machine.feed([i]) for i in ids) + machine.feed([], last=True)
     assert got.replace(" ", "") == text.replace(" ", "")
+    for size in (1, 2, 5):
+        machine = bpe.TextDecoder(encoder.merges)
+        got = "".join(machine.feed(ids[at : at + size]) for at in range(0, len(ids), size)) + machine.feed([], last=True)
+        assert got == library.decode(ids, skip_special_tokens=False)
 
 
 def test_bpe_rows(spark, library):
@@ -313,6 +334,7 @@ def test_bpe_rows(spark, library):
         if r["doc_id"] == 4:
             ids = library.encode(LONG, add_special_tokens=False).ids
             assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+            assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
         if r["doc_id"] in (0, 1, 2):
             assert r["n_tokens"] == 0 and r["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
     assert bpe.encode_documents(docs(spark, ["a b"]), bpe.vocabulary()).first()["ids"] == library.encode("a b", add_special_tokens=False).ids
