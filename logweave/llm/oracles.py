@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from .secret_scan import ALLOWED, CANDIDATE, CLASSES, KINDS, WINDOW
+from .secret_scan import ALLOWED, CANDIDATE, CLASSES, KINDS, MIXED, WINDOW
 
-#: Near-duplicate classes by brute force: all pairs that share a shingle, weighted Jaccard, reachability.
-OP2_SQL = r"""
+
+def _classes(count: str) -> str:
+    """Near-duplicate classes by brute force: all pairs that share a shingle, Jaccard by the counts, reachability."""
+    return rf"""
 with recursive w as (
   select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\t\n\x0b\x0c\r\x1c-\x20]+'), lambda x: x <> '') as w from documents),
-s as (select doc_id, array_to_string(w[i:i + 4], ' ') as g, count(*) as c from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as i from w where len(w) > 0) group by all),
+s as (select doc_id, array_to_string(w[i:i + 4], ' ') as g, {count} as c from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as i from w where len(w) > 0) group by all),
 t as (select doc_id, sum(c) as n from s group by doc_id),
 m as (select a.doc_id as lo, b.doc_id as hi, sum(least(a.c, b.c)) as m from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
 e as (select lo, hi from m join t x on x.doc_id = lo join t y on y.doc_id = hi where m >= 0.8 * (x.n + y.n - m)),
@@ -17,6 +19,10 @@ r(a, b) as (select doc_id, doc_id from documents union select r.a, u.b from r jo
 select a as doc_id, min(b) as class_id from r group by a
 """
 
+
+OP2_SQL, MINHASH_SQL = _classes("count(*)"), _classes("1")
+
+
 #: Every window of 50 bytes (100 hex digits), its first document, and what lies outside the runs of covered bytes.
 OP6_SQL = """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
@@ -54,6 +60,8 @@ _ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["'
 _LIMIT = "case " + " ".join(f"when regexp_matches(x.v, {_quoted(p)}) then {bits}" for p, bits in CLASSES) + " else 9.0 end"
 _BITS = f"""list_max(list_transform(range(1, length(x.v) - {WINDOW} + 2), lambda i: - list_sum(list_transform(list_distinct(string_split(x.v[i:i + {WINDOW - 1}], '')),
   lambda c: len(list_filter(string_split(x.v[i:i + {WINDOW - 1}], ''), lambda y: y = c)) / {WINDOW}.0 * log2(len(list_filter(string_split(x.v[i:i + {WINDOW - 1}], ''), lambda y: y = c)) / {WINDOW}.0)))))"""
+_HAS = lambda p: f"regexp_matches(x.v, {_quoted(p)})"
+_TOLD = " or ".join(["(" + " and ".join(map(_HAS, MIXED[0])) + ")", _HAS(CLASSES[0][0]), "(" + " and ".join(map(_HAS, (CLASSES[1][0], *MIXED[1]))) + ")"])
 _KIND = "[" + ", ".join(_quoted(k) for k in KINDS) + "]"
 _JOIN = f"array_to_string(list_transform(%s, lambda x: {_KIND}[x.k + 1] || ':' || x.s || ':' || x.e), ',')"
 
@@ -61,8 +69,8 @@ OP9_SQL = f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 b as (select doc_id, t, list_sort(list_concat(list_concat(list_filter({_found(_ASSIGN, 0, 2)}, lambda x: length(x.v) >= 6), list_filter({_found('AKIA[A-Z0-9]+', 1)}, lambda x: x.e - x.s >= 20)),
   list_filter({_found('[0-9a-f]{24,}', 2)}, lambda x: x.e - x.s >= 24))) as base from d),
-c as (select *, case when regexp_matches(t, '[0-9]') then {_found(CANDIDATE, 3)} else [] end as runs from b),
-f as (select *, list_filter(runs, lambda x: regexp_matches(x.v, '[0-9]') and regexp_matches(x.v, '[A-Za-z]') and not regexp_matches(x.v, {_quoted(ALLOWED)})
+c as (select *, {_found(CANDIDATE, 3)} as runs from b),
+f as (select *, list_filter(runs, lambda x: ({_TOLD}) and not regexp_matches(x.v, {_quoted(ALLOWED)})
   and len(list_filter(base, lambda y: y.s < x.e and x.s < y.e)) = 0 and {_BITS} >= {_LIMIT}) as added from c)
 select doc_id, cast(len(list_filter(base, lambda x: x.k = 0)) as bigint) as n_assign, cast(len(list_filter(base, lambda x: x.k = 1)) as bigint) as n_access, cast(len(list_filter(base, lambda x: x.k = 2)) as bigint) as n_hex,
  sha256({_JOIN % 'base'}) as base_sha256, {_JOIN % 'list_sort(list_concat(base, added))'} as spans from f

@@ -2,8 +2,9 @@
 
 Three base kinds come from patterns (assign, access, hex). The method adds the kind `entropy`: candidate strings whose
 Shannon entropy, in some window of WINDOW characters, reaches the limit of their character class, unless an allow-list
-pattern suppresses them or they overlap a base span. The entropy of the windows is carried along the string: each step
-adds the incoming character's count and takes off the outgoing one's.
+pattern suppresses them or they overlap a base span. The entropy of the windows is carried along the string: the state
+holds the count of every character in the window, and each step adds the incoming character's and takes off the outgoing
+one's. A step costs the same anywhere, so work grows with a candidate's length.
 
 Positions are code points. Null texts count as empty; equal or repeated rows each get their own result; an empty table
 gives an empty result; extra columns of the input are ignored by `scan` and kept by `redact`.
@@ -11,6 +12,8 @@ gives an empty result; extra columns of the input are ignored by `scan` and kept
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,81 +24,104 @@ from ._common import table
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: Candidates for the entropy test hold a letter, a digit and 20 or more characters.
+#: Candidates for the entropy test: 20 or more of these characters.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
-#: Least bits by character class: (pattern of the whole candidate, bits).
-CLASSES = ((r"^[0-9]+$", 9.0), (r"^[0-9a-fA-F]+$", 2.81), (r"^[A-Za-z0-9]+$", 3.51), (r"^[A-Za-z0-9+/_=-]+$", 3.61))
+#: Least bits by character class: (pattern of the whole candidate, bits). Letters only count if both cases occur; beyond
+#: letters only and digits only, a candidate holds a letter and a digit.
+CLASSES = ((r"^[0-9]+$", 3.2), (r"^[A-Za-z]+$", 3.9), (r"^[0-9a-fA-F]+$", 2.81), (r"^[A-Za-z0-9]+$", 3.51), (r"^[A-Za-z0-9+/_=-]+$", 3.61))
+MIXED = (r"[0-9]", r"[A-Za-z]"), (r"[A-Z]", r"[a-z]")
 #: Candidates that hold one of these are placeholders, not secrets.
 ALLOWED = r"(?i)example|sample|dummy|placeholder|redacted|x{6,}|0123456789|abcdefghij|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
 
 _SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
+#: Matches that one fold gathers; longer lists are folded part by part.
+PART = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, inside lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _upto(n: Column) -> Column:
+    """0, 1, ... n - 1; empty for 0."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
 
 
 def _spans(text: Column, pattern: str, kind: int, may: Column, group: int = 0) -> Column:
     """Leftmost matches that do not overlap, as structs (start, kind, end, text of the group).
 
-    may: a cheap condition that every text with a match meets."""
+    may: a cheap condition that every text with a match meets. Places are running sums of lengths, taken in parts of PART
+    matches whose starts come from the sums of the parts before."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    steps = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), values.alias("value"))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), values.alias("value"))
+    steps = F.transform(zipped, lambda x: F.struct(F.length(x.getField("gap")).alias("g"), F.length(x.getField("hit")).alias("h"), x.getField("value").alias("v")))
 
     def add(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["0"])
-        end = start + F.length(x["1"])
-        span = F.struct(start.alias("s"), F.lit(kind).alias("k"), end.alias("e"), x["2"].alias("v"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("pos"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
-    names = F.transform(steps, lambda x: F.struct(x.getField("gap").alias("0"), x.getField("hit").alias("1"), x.getField("value").alias("2")))
-    found = F.aggregate(F.filter(names, lambda x: x["1"].isNotNull()), zero, add, lambda acc: acc["out"])
-    return F.when(may & text.rlike(pattern), found).otherwise(F.expr(f"cast(array() as {_SPAN})"))
+        start = acc["pos"] + x["g"]
+        span = F.struct(start.alias("s"), F.lit(kind).alias("k"), (start + x["h"]).alias("e"), x["v"].alias("v"))
+        return F.struct((start + x["h"]).alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    none = F.expr(f"cast(array() as {_SPAN})")
+    part = lambda x, c: F.slice(x, c * PART + 1, F.lit(PART))
+    parts = lambda x: _upto(F.ceil(F.size(x) / PART).cast("int"))
+    sums = lambda x: F.transform(parts(x), lambda c: F.aggregate(part(x, c), F.lit(0), lambda a, y: a + y["g"] + y["h"]))
+    before = lambda z, c: F.aggregate(F.slice(z["sums"], F.lit(1), c), F.lit(0), lambda a, y: a + y)
+    fold = lambda z, c: F.aggregate(part(z["steps"], c), F.struct(before(z, c).alias("pos"), none.alias("out")), add, lambda acc: acc["out"])
+    found = _let(
+        F.filter(steps, lambda x: x["h"].isNotNull()),
+        lambda x: _let(F.struct(x.alias("steps"), sums(x).alias("sums")), lambda z: F.flatten(F.transform(parts(z["steps"]), lambda c: fold(z, c)))),
+    )
+    return F.when(may, found).otherwise(none)
 
 
 def peak_entropy(value: Column, window: int = WINDOW) -> Column:
     """The most bits per character in any window of the string, shorter strings as one window.
 
-    State: the sum of c*log2(c) over the characters of the current window, kept up by the two counts that change."""
+    State: the count of each character in the current window and the sum of c*log2(c) over them."""
 
     def weight(c: Column) -> Column:
-        return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
+        return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
-    def count(of: Column, ch: Column) -> Column:
-        return (F.length(of) - F.length(F.replace(of, ch, F.lit("")))).cast("double")
+    def walk(slots: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            new, old = F.get(slots, i), F.when(i >= window, F.get(slots, i - window)).otherwise(F.lit(-1))
+            gone = F.when(old >= 0, F.get(acc["counts"], old)).otherwise(F.lit(0))
+            had = F.get(acc["counts"], new) - F.when(new == old, F.lit(1)).otherwise(F.lit(0))
+            total = acc["total"] - weight(gone) + weight(gone - 1) + weight(had + 1) - weight(had)
+            counts = F.when(new == old, acc["counts"]).otherwise(F.transform(acc["counts"], lambda c, j: F.when(j == new, c + 1).when(j == old, c - 1).otherwise(c)))
+            size = F.least(i + 1, F.lit(window)).cast("double")
+            bits = F.log2(size) - total / size
+            best = F.when((i + 1 >= window) | (i + 1 == F.size(slots)), F.greatest(acc["best"], bits)).otherwise(acc["best"])
+            return F.struct(counts.alias("counts"), total.alias("total"), best.alias("best"))
 
-    def step(acc: Column, i: Column) -> Column:
-        ch, out = F.substr(value, i, F.lit(1)), F.substr(value, i - window, F.lit(1))
-        before = F.when(i > window, F.substr(value, i - window, F.lit(window))).otherwise(F.substr(value, F.lit(1), i - 1))
-        gone = F.when(i > window, count(before, out)).otherwise(F.lit(0.0))
-        mid = F.when(i > window, F.substr(value, i - window + 1, F.lit(window - 1))).otherwise(before)
-        had = count(mid, ch)
-        total = acc["total"] - F.when(i > window, weight(gone) - weight(gone - 1)).otherwise(F.lit(0.0)) + weight(had + 1) - weight(had)
-        size = F.least(i, F.lit(window)).cast("double")
-        bits = F.log2(size) - total / size
-        best = F.when((i >= window) | (i == F.length(value)), F.greatest(acc["best"], bits)).otherwise(acc["best"])
-        return F.struct(total.alias("total"), best.alias("best"))
+        zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
+        return F.aggregate(_upto(F.size(slots)), zero, step, lambda acc: acc["best"])
 
-    zero = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), zero, step, lambda acc: acc["best"])
+    letters = F.filter(F.split(value, ""), lambda c: c != "")
+    return _let(F.transform(letters, lambda c: F.instr(F.lit(ALPHABET), c) - 1), walk)
 
 
 def _suspect(value: Column) -> Column:
     limit = F.lit(9.0)
     for pattern, bits in reversed(CLASSES):
         limit = F.when(value.rlike(pattern), F.lit(bits)).otherwise(limit)
-    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(ALLOWED) & (peak_entropy(value) >= limit)
+    one, two = (value.rlike(a) & value.rlike(b) for a, b in MIXED)
+    return (one | value.rlike(CLASSES[0][0]) | (two & value.rlike(CLASSES[1][0]))) & ~value.rlike(ALLOWED) & (peak_entropy(value) >= limit)
 
 
 def with_spans(docs: DataFrame, text: str = "text", out: str = "_spans", base: str = "_base") -> DataFrame:
     """docs with two array columns: the base spans, and all spans, each ordered by start and kind."""
     t = F.coalesce(F.col(text), F.lit(""))
     has = lambda x: F.contains(t, F.lit(x))
-    assign = F.filter(_spans(t, ASSIGN, 0, has(":") | has("="), 2), lambda x: F.length(x["v"]) >= 6)
-    found = docs.withColumn(base, F.array_sort(F.concat(assign, _spans(t, ACCESS, 1, has("AKIA")), _spans(t, HEX, 2, F.lit(True)))))
+    assign = F.filter(_spans(t, ASSIGN, 0, (has(":") | has("=")) & t.rlike(ASSIGN), 2), lambda x: F.length(x["v"]) >= 6)
+    found = docs.withColumn(base, F.array_sort(F.concat(assign, _spans(t, ACCESS, 1, has("AKIA")), _spans(t, HEX, 2, t.rlike(HEX)))))
     b = F.col(base)
-    runs = _spans(t, CANDIDATE, 3, t.rlike("[0-9]"))
+    runs = _spans(t, CANDIDATE, 3, t.rlike(CANDIDATE))
     added = F.filter(runs, lambda x: _suspect(x["v"]) & ~F.exists(b, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
     return found.withColumn(out, F.array_sort(F.concat(b, added)))
 
@@ -125,13 +151,16 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     found = with_spans(wrapped, "t")
     t = F.col("t")
 
+    # spans that overlap are one; their ends are taken in order, so that each piece between them is cut out once
     def step(acc: Column, x: Column) -> Column:
         new = x["s"] >= acc["pos"]
-        more = F.concat(acc["out"], F.substr(t, acc["pos"] + 1, x["s"] - acc["pos"]), F.lit(mark))
-        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.when(new, more).otherwise(acc["out"]).alias("out"))
+        gap = F.struct(acc["pos"].alias("s"), x["s"].alias("e"))
+        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.when(new, F.concat(acc["gaps"], F.array(gap))).otherwise(acc["gaps"]).alias("gaps"))
 
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substr(t, acc["pos"] + 1, F.length(t))))
+    zero = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<s:int,e:int>>)").alias("gaps"))
+    whole = lambda acc: F.concat(acc["gaps"], F.array(F.struct(acc["pos"].alias("s"), F.length(t).alias("e"))))
+    gaps = F.aggregate("_spans", zero, step, whole)
+    clean = F.array_join(F.transform(gaps, lambda x: F.substr(t, x["s"] + 1, x["e"] - x["s"])), mark)
     found = found.select("row", F.when(F.size("_spans") > 0, clean).alias("clean"))
     new = {text: F.coalesce("clean", F.col("row")[text]), "n_chars": F.coalesce(F.length("clean").cast("long"), F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
     return found.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -502,7 +503,7 @@ def brute_secrets(text):
     base = sorted(found)
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
         v = m[0]
-        if any(s < m.end() and m.start() < e for s, _, e in base) or not (re.search("[0-9]", v) and re.search("[A-Za-z]", v)) or re.search(secret_scan.ALLOWED.removeprefix("(?i)"), v, re.I):
+        if any(s < m.end() and m.start() < e for s, _, e in base) or not (re.search("[0-9]", v) and re.search("[A-Za-z]", v) or v.isdigit() or v.isalpha() and not v.isupper() and not v.islower()) or re.search(secret_scan.ALLOWED.removeprefix("(?i)"), v, re.I):
             continue
         limit = next(b for p, b in secret_scan.CLASSES if re.search(p, v))
         best = max(-sum(c / 20 * math.log2(c / 20) for c in collections.Counter(v[i : i + 20]).values()) for i in range(len(v) - 19))
@@ -519,12 +520,23 @@ def test_secrets_equal_brute_force(spark):
     texts += ["".join(r.choice(alphabet) for _ in range(r.randint(5, 200))) for _ in range(150)]
     texts += ["token" + "".join(r.choice("=: 'abc123") for _ in range(30)) for _ in range(60)]
     texts += ["x " + "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(r.randint(20, 60))) + " y" for _ in range(60)]
+    texts += ["".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(24)) for _ in range(20)] + ["".join(r.choice("0123456789") for _ in range(22)) for _ in range(20)]
+    texts += [" ".join("token=%dabcdef" % k for k in range(n)) for n in (255, 256, 257, 600)]
     got = {x["doc_id"]: x for x in secret_scan.scan(docs(spark, texts)).collect()}
     for i, t in enumerate(texts):
         counts, digest, spans = brute_secrets(t)
         assert ([got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]], got[i]["base_sha256"], got[i]["spans"]) == (counts, digest, spans), t
 
 
+def test_one_long_candidate(spark):
+    """A run of 200,000 characters takes seconds: each step of the window costs the same."""
+    r = random.Random(24)
+    value = "".join(r.choice(secret_scan.ALPHABET) for _ in range(200_000))
+    began = time.time()
+    row = secret_scan.scan(docs(spark, [f"é {value} x"])).first()
+    assert row["spans"] == "entropy:2:200002" and time.time() - began < 60
+
+
 def test_redaction(spark):
     df = odd(spark).unionByName(docs(spark, ["a token=abcdef12 b " + "0af3" * 8], 90).withColumns({c: F.lit(1) for c in odd(spark).columns[5:]}))
     got = secret_scan.redact(df)
