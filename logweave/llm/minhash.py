@@ -2,7 +2,9 @@
 
 A permutation is x -> a*x + b modulo 2**64 with odd a, and a lane keeps the top bits of the least value, so the share of
 equal lanes estimates the Jaccard similarity of the shingle sets. Near duplicates are found by joining bands of
-the lanes and verifying each pair on the shingles themselves (`near_duplicates`).
+the lanes and verifying each pair on the shingles themselves (`near_duplicates`, for all pairs of a corpus). Of a
+document and its edited text, and the next document, the same is told pair by pair: the bands that agree, and the exact
+Jaccard similarity where one does.
 
 Null texts count as empty; a text without words has the all-ones fingerprint, so equal texts have equal ones. Rows that
 repeat a doc_id follow each other by text; rows without doc_id come last. One row alone is its own next document.
@@ -19,14 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import mix, packed, seeds, shingles, slices, table
-from ._links import classes
+from ._links import classes, regions
 
 LANES = 128
 #: Bands and lanes of each, for joining near duplicates.
 BANDS, ROWS = 45, 7
+#: Bands of a fingerprint of LANES lanes: of 6 lanes each, two texts of a likeness of 0.8 agree in one with 0.998.
+PAIR_BANDS = 21
 _A, _B = seeds(BANDS * ROWS, 11) | np.uint64(1), seeds(BANDS * ROWS, 12)
-#: Documents in a run of neighbours that one task handles.
-RUN = 2000
+#: Documents in a run of neighbours that one task handles, and the most runs.
+RUN, RUNS = 2000, 20_000
 
 
 def signatures(h: np.ndarray, counts: np.ndarray, lanes: int = LANES) -> np.ndarray:
@@ -49,14 +53,27 @@ def signatures(h: np.ndarray, counts: np.ndarray, lanes: int = LANES) -> np.ndar
     return out
 
 
-def prints(texts: list[str]) -> np.ndarray:
-    """The fingerprint of each text: LANES numbers of 16 bits."""
+def prints(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The fingerprint of each text, LANES numbers of 16 bits, and its sorted shingle set."""
     data, offsets = packed(pa.array(texts, pa.large_string()))
-    out = np.empty((len(texts), LANES), np.uint16)
+    out, sets = np.empty((len(texts), LANES), np.uint16), []
     for a, b in slices(offsets, 1 << 19):
-        h, counts = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        h, counts = regions(*shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), weighted=False)
         out[a:b] = (signatures(h, counts) >> np.uint64(48)).astype(np.uint16)
-    return out
+        sets += np.split(h, np.cumsum(counts)[:-1])
+    return out, sets
+
+
+def agreeing_bands(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many of PAIR_BANDS bands the fingerprints of each row agree."""
+    size = LANES // PAIR_BANDS
+    return (a == b)[:, : PAIR_BANDS * size].reshape(len(a), PAIR_BANDS, size).all(axis=2).sum(axis=1)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Exact, of sorted sets; two empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / ((len(a) + len(b) - both) or 1) if len(a) or len(b) else 1.0
 
 
 def edited(text: str, following: str) -> str:
@@ -84,7 +101,8 @@ def in_runs(docs: DataFrame, key: str, text: str) -> DataFrame:
     least = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
     ids = docs.select(least.alias("id"))
     n = ids.count()
-    parts = max(1, -(-n // RUN))
+    # a run is a stream, so its length is no matter of memory; the driver gets a row for each run, RUNS at most
+    parts = min(RUNS, max(1, -(-n // RUN)))
     dealt = ids.repartitionByRange(parts, F.col("id")) if parts > 1 else ids.coalesce(1)
     found = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).collect()
     highs = np.sort(np.array([r["hi"] for r in found], np.int64))
@@ -108,14 +126,17 @@ def in_runs(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: its fingerprint, that of its edited text, and their likeness, also to the next document's."""
+    """Per document: its fingerprint, that of its edited text, and their likeness, also to the next document's; for both
+    pairs the number of bands that agree and, if any does, the exact Jaccard similarity (else null)."""
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = f"{key} {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands_edited int, bands_next int, jaccard_edited double, jaccard_next double"
 
     def report(keys: list, texts: list[str]) -> pa.RecordBatch:
         """Of texts that follow each other; the last is only the next of the one before."""
         made = [edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
-        own, new = prints(texts), prints(made)
+        (own, sets), (new, made_sets) = prints(texts), prints(made)
+        bands = [agreeing_bands(own[:-1], new), agreeing_bands(own[:-1], own[1:])]
+        exact = [[jaccard(a, b) if k else None for a, b, k in zip(sets, other, some.tolist(), strict=False)] for other, some in ((made_sets, bands[0]), (sets[1:], bands[1]))]
         hexes = lambda p: pa.array([x.astype(">u2").tobytes().hex() for x in p], pa.string())
         return pa.RecordBatch.from_arrays(
             [
@@ -126,6 +147,8 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 hexes(new),
                 pa.array((own[:-1] == new).mean(axis=1)),
                 pa.array((own[:-1] == own[1:]).mean(axis=1)),
+                *[pa.array(x.astype(np.int32)) for x in bands],
+                *[pa.array(x, pa.float64()) for x in exact],
             ],
             [x.split(" ")[0] for x in schema.split(", ")],
         )
@@ -157,3 +180,7 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(table(spark, sf_dir, "documents"))
+
+
+def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))

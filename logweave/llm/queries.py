@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op4_bpe
 from .dart_minhash import op2_near_dedup
 from .hash_forest import op5_hash_forest
-from .minhash import op10_fingerprints
+from .minhash import minhash_near_duplicates, op10_fingerprints
 from .mixing import op8_mixing
-from .oracles import OP2_SQL, OP6_SQL, OP9_SQL
+from .oracles import MINHASH_SQL, OP2_SQL, OP6_SQL, OP9_SQL
 from .secret_scan import op9_secret_scan
 from .subword import op1_quality
 from .suffix_dedup import op6_suffix_dedup
@@ -33,8 +33,9 @@ def queries() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "op9_secret_scan": op9_secret_scan,
         "op10_fingerprints": op10_fingerprints,
+        "minhash_near_duplicates": minhash_near_duplicates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op9_secret_scan": OP9_SQL}
+    return {"op2_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op9_secret_scan": OP9_SQL, "minhash_near_duplicates": MINHASH_SQL}
