@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from logweave.llm import bpe, dart_minhash, mixing, secret_scan, toxicity
-from logweave.llm._common import staged, table
+from logweave.llm._common import remainder, staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores 0.3 or more go."""
-    held_out = toxicity.remainder(4) == 2
+    held_out = remainder(4) == 2
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out))
 
 

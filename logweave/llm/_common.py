@@ -8,7 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,11 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one of our own only where none is set (tests)."""
+    """The folder that driver and executors share. Where the cluster names none, a temporary one is set, on local masters
+    only (tests); a cluster without one is an error, since its machines would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="logweave-")
         spark.sparkContext.setCheckpointDir(found)
@@ -51,6 +56,29 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: The most bytes of text in a sample of labelled rows.
+SAMPLE_BYTES = 64 << 20
+
+
+def remainder(mod: int) -> Column:
+    """crc32 of doc_id as text modulo a number: the fold of a row; a missing doc_id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, y) of at most `most` labelled rows and about `most_bytes` of text, the same at every run, as a written
+    table. Labels of one doc_id that contradict each other count as their larger value."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out)
+    one = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    turn = F.xxhash64("doc_id")
+    chosen = F.broadcast(one.orderBy(turn, "doc_id").limit(most))  # at most `most` pairs of numbers
+    rows = staged(docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "y"), "labelled")
+    sizes = rows.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("n"))
+    before = F.sum("n").over(W.orderBy(turn, "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
+    fit = F.broadcast(sizes.withColumn("before", before).where(F.col("before") < most_bytes).select("doc_id"))  # as few
+    return rows.join(fit, "doc_id", "left_semi")
+
+
 def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n+1 offsets; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

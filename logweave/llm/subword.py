@@ -2,7 +2,7 @@
 
 A document is the average of learned vectors of its hashed words and of the character n-grams of those words; a softmax
 layer gives the class. Vectors and layer are trained by stochastic gradient descent in numpy on a bounded sample of
-labelled rows (SAMPLE, the least hashes of doc_id among the training rows). To score, the layer is folded into the
+labelled rows (SAMPLE rows, the least hashes of doc_id among the training rows, as far as SAMPLE_BYTES of text). To score, the layer is folded into the
 vectors, so each feature is one number and each whole text one pass over its bytes.
 
 Null and empty texts have no features and get the score of the bias alone. Rows that repeat a doc_id are scored each;
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import _GAP, packed, seeds, slices, span_hashes, table, word_bounds
+from ._common import _GAP, packed, remainder, seeds, slices, span_hashes, table, training_rows, word_bounds
 
 SAMPLE = 3000
 BITS, DIM, EPOCHS, RATE = 17, 8, 8, 0.4
@@ -109,21 +109,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> Subw
     return Subword((vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def training_ids(labels: DataFrame, label: str, held_out: F.Column, most: int) -> DataFrame:
-    """(doc_id, y): at most `most` training rows, the same ones at every run."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out)
-    one = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
-    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-
-
-def remainder(mod: int) -> F.Column:
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: F.Column, most: int = SAMPLE) -> Subword:
     """Train on at most `most` labelled rows whose texts are in docs."""
-    chosen = F.broadcast(training_ids(labels, label, held_out, most))  # at most `most` pairs of numbers
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "y")
+    rows = training_rows(docs, labels, label, held_out, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

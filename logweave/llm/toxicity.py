@@ -2,8 +2,8 @@
 
 Features of a whole text: densities of a fixed and of a learned lexicon, lexicon words near a second-person pronoun,
 and rates of capitals, punctuation and obfuscation (signs or digits inside words). The learned lexicon holds words and
-word beginnings that mark toxic texts, learned from a bounded sample of training rows (SAMPLE, the least hashes of
-doc_id) by folds, so that no text's features come from its own label.
+word beginnings that mark toxic texts, learned from a bounded sample of training rows (SAMPLE rows, the least hashes of
+doc_id, as far as SAMPLE_BYTES of text) by folds, so that no text's features come from its own label.
 
 Null and empty texts have all features zero. Rows that repeat a doc_id are scored each; contradicting labels count as
 their larger value. Without toxic or without other labels the score is the share of toxic ones (0 without labels).
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SpanHasher, packed, seeds, slices, staged, table, word_bounds
+from ._common import SpanHasher, packed, remainder, seeds, slices, staged, table, training_rows, word_bounds
 
 SAMPLE = 8000
 # Insults and second-person words of the four languages.
@@ -272,7 +272,8 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             s, n, _ = blocks.pop()
             blocks[-1][0] += s
             blocks[-1][1] += n
-    return np.array([b[2] for b in blocks]), np.array([(b[0] + 0.5 * 0.1) / (b[1] + 0.1) for b in blocks])
+    # smoothing by a tenth of a row draws small pools towards a half; pooling is kept by never letting a level fall
+    return np.array([b[2] for b in blocks]), np.maximum.accumulate(np.array([(b[0] + 0.5 * 0.1) / (b[1] + 0.1) for b in blocks]))
 
 
 @dataclass
@@ -290,22 +291,12 @@ class Toxicity:
         return np.clip(np.interp(margin, self.steps, self.levels), 0.0, 1.0)
 
 
-def remainder(mod: int) -> Column:
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int) -> DataFrame:
-    """(doc_id, text, y) of at most `most` labelled rows, the same at every run, as a written table."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out)
-    one = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
-    chosen = F.broadcast(one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))  # at most `most` pairs of numbers
-    return staged(docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["text"]), "sample")
-
-
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic", most: int = SAMPLE) -> Toxicity:
     """Train on at most `most` labelled rows. The features of each fold come from a lexicon of the other folds, and each
     fold is calibrated on the margins of trees that have not seen it; the final lexicon and trees see all."""
-    sample = training_rows(docs, labels, label, held_out, most)
+    rows = training_rows(docs, labels, label, held_out, most)
+    # equal texts are one row, of the least doc_id, toxic if any of them is
+    sample = staged(rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y")).select("doc_id", "text", "y"), "sample")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def test_quality_held_out(spark):
 
     texts, rows = labelled(spark, junk)
     labels = spark.createDataFrame([(i, 0 if b else 1) for i, b, _ in rows], "doc_id bigint, quality int")
-    held = subword.remainder(5) == 0
+    held = _common.remainder(5) == 0
     model = subword.fit(texts, labels, "quality", held)
     got = {r["doc_id"]: r for r in subword.score(texts, model, held).collect()}
     wrong = [i for i, b, _ in rows if got[i]["held_out"] and got[i]["predicted"] != (0 if b else 1)]
@@ -95,7 +96,7 @@ def test_toxicity_held_out(spark):
 
     texts, rows = labelled(spark, rude)
     labels = spark.createDataFrame([(i, int(b)) for i, b, _ in rows], "doc_id bigint, toxic int")
-    held = toxicity.remainder(4) == 2
+    held = _common.remainder(4) == 2
     model = toxicity.fit(texts, labels, held)
     got = {r["doc_id"]: r for r in toxicity.score(texts, model, held).collect()}
     wrong = [i for i, b, _ in rows if got[i]["held_out"] and got[i]["predicted"] != int(b)]
@@ -106,6 +107,78 @@ def test_toxicity_held_out(spark):
     assert {r["score"] for r in toxicity.score(texts, none, held).collect()} == {0.0}
 
 
+def test_one_class_and_contradicting_labels(spark):
+    texts = docs(spark, ["good words", "bad words", "bad words", None])
+    held = _common.remainder(5) == 9
+    one = spark.createDataFrame([(0, 1), (1, 1)], "doc_id bigint, quality int")
+    assert subword.score(texts, subword.fit(texts, one, "quality", held), held).count() == 4
+    both = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (0, None), (None, 1)], "doc_id bigint, toxic int")
+    rows = {(r["doc_id"], r["y"]) for r in _common.training_rows(texts, both, "toxic", held, 10).collect()}
+    assert rows == {(1, 1), (2, 0)}
+    assert _common.training_rows(texts, both, "toxic", held, 10, most_bytes=1).count() == 1
+    assert toxicity.fit(texts, both, held).flat == 1.0  # equal texts are one row, toxic if any is
+
+
+def test_quality_scores_equal_a_plain_sum():
+    """The score of a text is the mean of its features' numbers, feature by feature."""
+    r = np.random.default_rng(12)
+    model = subword.Subword(r.normal(size=1 << subword.BITS).astype(np.float32), 0.3)
+    texts = ["", " \n", "a", "the the THE cat", "grüße an alle alle", "x" * 40 + " y", "one two three"]
+    data, offsets = _common.packed(pa.array(texts, pa.large_string()))
+    got = model.scores(data, offsets)
+    number = lambda word: int(_common.span_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]), fold=False)[0] >> np.uint64(64 - subword.BITS))
+
+    def gram(part):
+        h = 0
+        for b in part:
+            h = (h * 0x01000193 + int(subword._CODE[b])) % 2**32
+        return ((h * 0x9E3779B1 % 2**32 ^ len(part) * 0x85EBCA6B % 2**32) * 0xC2B2AE35 % 2**32) >> (32 - subword.BITS)
+
+    for text, score in zip(texts, got, strict=True):
+        parts = text.encode().split()
+        ids = [number(w) for w in parts] + [subword.ECHO for a, b in zip(parts, parts[1:], strict=False) if a.lower() == b.lower()]
+        for w in parts:
+            wide = b" " + w + b" "
+            ids += [gram(wide[i : i + n]) for n in subword.GRAMS for i in range(len(wide) - n + 1)]
+        mean = float(np.mean(model.weight[ids])) if ids else 0.0
+        assert abs(score - 1 / (1 + math.exp(-mean - 0.3))) < 1e-6, text
+
+
+def test_toxicity_features_and_trees_equal_plain_ones():
+    hashes = toxicity._word_hash(["zorg", "blarg"])
+    lexicon = toxicity.Lexicon(hashes, np.array([2.0, 3.0]), 9)
+    texts = ["", "You IDIOT!! zorg", "a b c d you e f blarg stupid", "SHOUT quiet l33t f*ck ok?", "plain words only"]
+    data, offsets = _common.packed(pa.array(texts, pa.large_string()))
+    got = toxicity.dense(data, offsets, lexicon)
+    signs = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    weight = dict(zip(hashes.tolist(), (2.0, 3.0), strict=True))
+    for text, row in zip(texts, got, strict=True):
+        words = [w.strip(signs) for w in text.split()]
+        n, one = max(len(words), 1), [weight.get(int(toxicity._word_hash([w])[0]), 0.0) if w else 0.0 for w in words]
+        fixed, you = [w.lower() in toxicity.INSULTS for w in words], [w.lower() in toxicity.SECOND_PERSON for w in words]
+        hit = [a or b > 0 for a, b in zip(fixed, one, strict=True)]
+        near = [any(you[j] for j in range(max(0, i - 3), min(len(words), i + 4)) if j != i) for i in range(len(words))]
+        upper, letters = sum(c.isupper() for c in text), sum(c.isalpha() for c in text)
+        shout = sum(sum(c.isupper() for c in w) >= 3 and not any(c.islower() for c in w) for w in words)
+        odd = sum(any(c in signs or c.isdigit() for c in w) and any(c.isalpha() for c in w) for w in words)
+        want = [sum(fixed) / n, sum(x > 0 for x in one) / n, sum(one) / n, math.log1p(sum(hit)), sum(a and b for a, b in zip(hit, near, strict=True)) / n]
+        want += [upper / max(letters, 1), shout / n, sum(c in signs for c in text) / max(len(text), 1), sum(c in "!?" for c in text) / max(len(text), 1), odd / n]
+        want += [sum(map(len, words)) / n, math.log1p(len(words) if text else 0)]
+        assert np.allclose(row, want if text else 0), text
+    r = np.random.default_rng(13)
+    x = r.normal(size=(300, 4))
+    trees = toxicity.boost(x, (x[:, 0] * x[:, 1] > 0).astype(float), rounds=12)
+    for row, margin in zip(x[:40], trees.margin(x[:40]), strict=True):
+        total = trees.base
+        for f, c, leaf in zip(trees.feature, trees.cut, trees.leaf, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if row[f[node]] > c[node] else 1)
+            total += leaf[node - len(f)]
+        assert abs(total - margin) < 1e-9
+    assert np.mean((trees.margin(x) > 0) == (x[:, 0] * x[:, 1] > 0)) > 0.9
+
+
 def test_lexicon_merges_only_near_copies():
     r = np.random.default_rng(4)
     common = r.integers(0, 1 << 32, 40, dtype=np.uint32)
@@ -123,6 +196,9 @@ def test_isotonic_rises():
     x = r.normal(size=300)
     steps, levels = toxicity.isotonic(x, (x + r.normal(size=300) > 0).astype(float))
     assert (np.diff(steps) >= 0).all() and (np.diff(levels) >= 0).all()
+    # pools of 99 of 100 and of 1 of 1: smoothing alone would put the second below the first
+    steps, levels = toxicity.isotonic(np.array([0.0] * 100 + [1.0]), np.array([0.0] + [1.0] * 100))
+    assert len(levels) == 2 and levels[0] <= levels[1]
 
 
 # --- 2, 10 --------------------------------------------------------------------------------------------------------
