@@ -193,9 +193,9 @@ class Transducer:
         ends = np.cumsum(sizes)
         at, open_ = ends - sizes, np.arange(len(sizes))
         while len(open_):
-            # as many words as make a million symbols
+            # as many words as make a quarter of a million symbols
             size = np.minimum(ends[open_] - at[open_], self.reach)
-            now = open_[: max(1, int(np.searchsorted(np.cumsum(size), 1 << 20, side="right")))]
+            now = open_[: max(1, int(np.searchsorted(np.cumsum(size), 1 << 18, side="right")))]
             size = size[: len(now)]
             stops = np.cumsum(size)
             place = np.repeat(at[now] - (stops - size), size) + np.arange(stops[-1])
@@ -262,12 +262,13 @@ _SIGMA = "Σ"
 class Encoder:
     """Texts to token ids with a bounded memory of words; `piece` is the most characters read at once."""
 
-    def __init__(self, path: str, most_words: int = 200_000, piece: int = 1 << 20, window: int = 1024):
+    def __init__(self, path: str, most_words: int = 100_000, piece: int = 1 << 20, window: int = 1024):
         self.merges = Merges(path)
         self.transducer = Transducer(self.merges, window)
         self.most, self.piece = most_words, piece
-        #: The ids of a word, and the same as text.
-        self.known: dict[str, tuple[list[int], str]] = {}
+        #: The ids of a word; a word of one token shares its tuple with others.
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.single = [(i,) for i in range(len(self.merges.tokens))]
         marks = "|".join(re.escape(x) for x in sorted(self.merges.specials, key=len, reverse=True))
         self.marks = re.compile(f"({marks})") if marks else None
 
@@ -298,16 +299,14 @@ class Encoder:
         new = list(words.difference(self.known))
         for w in new:
             if w[0] == "\0" and w[1:] in self.merges.specials:
-                one = self.merges.specials[w[1:]]
-                self.known[w] = [one], str(one)
+                self.known[w] = self.single[self.merges.specials[w[1:]]]
         new = [w for w in new if w not in self.known]
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             raw = [w.encode("utf-8", "surrogatepass") for w in some]
             found = self.transducer.encode(np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw)))
-            text = self.merges.id_text.__getitem__
             for w, ids in zip(some, found, strict=True):
-                self.known[w] = ids, " ".join(map(text, ids))
+                self.known[w] = self.single[ids[0]] if len(ids) == 1 else tuple(ids)
 
     def pieces(self, text: str) -> Iterator[str]:
         """The text in parts of about `piece` characters, cut after blanks."""
@@ -320,17 +319,17 @@ class Encoder:
             at = to
         yield text[at:] if at else text
 
-    def encode_batch(self, texts: list[str]) -> list[list[tuple[list[int], str]]]:
-        """For each text the ids of each pre-token, also as text; the texts should hold a few million characters at most."""
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text; the texts should hold a few million characters at most."""
         if len(self.known) > self.most:
             self.known.clear()
         split = [self.words(x) for x in texts]
         self.learn(set().union(*split))
         get = self.known.__getitem__
-        return [list(map(get, words)) for words in split]
+        return [list(itertools.chain.from_iterable(map(get, words))) for words in split]
 
     def encode(self, text: str) -> list[int]:
-        return [i for part in self.pieces(text) for ids, _ in self.encode_batch([part])[0] for i in ids]
+        return [i for part in self.pieces(text) for i in self.encode_batch([part])[0]]
 
     def decode(self, ids: Sequence[int]) -> str:
         """As the library: skip_special_tokens=False."""
@@ -342,11 +341,11 @@ class _Digest:
 
     def __init__(self, encoder: Encoder):
         self.decoder, self.count, self.ids, self.text = TextDecoder(encoder.merges), 0, hashlib.sha256(), hashlib.sha256()
+        self.shown = encoder.merges.id_text.__getitem__
 
-    def feed(self, groups: list[tuple[list[int], str]]) -> None:
-        if groups:
-            ids = list(itertools.chain.from_iterable(x for x, _ in groups))
-            self.ids.update((" " * bool(self.count) + " ".join([x for _, x in groups])).encode())
+    def feed(self, ids: list[int]) -> None:
+        if ids:
+            self.ids.update((" " * bool(self.count) + " ".join(map(self.shown, ids))).encode())
             self.text.update(self.decoder.feed(ids).encode())
             self.count += len(ids)
 
@@ -365,7 +364,7 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
-def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", together: int = 1 << 21) -> DataFrame:
+def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", together: int = 1 << 20) -> DataFrame:
     """Per row: the key, the number of tokens and digests of the ids and the decoded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,9 +377,9 @@ def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
             def flush() -> None:
                 nonlocal size
-                for groups in enc.encode_batch(waiting) if waiting else ():
+                for ids in enc.encode_batch(waiting) if waiting else ():
                     digest = _Digest(enc)
-                    digest.feed(groups)
+                    digest.feed(ids)
                     rows.append(digest.row())
                 waiting.clear()
                 size = 0

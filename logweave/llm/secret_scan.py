@@ -118,11 +118,13 @@ def with_spans(docs: DataFrame, text: str = "text", out: str = "_spans", base: s
     """docs with two array columns: the base spans, and all spans, each ordered by start and kind."""
     t = F.coalesce(F.col(text), F.lit(""))
     has = lambda x: F.contains(t, F.lit(x))
+    # access and hex matches are runs of candidate characters too, so one look tells most texts apart from all three
+    docs = docs.withColumn(out, t.rlike(CANDIDATE))
+    long = F.col(out)
     assign = F.filter(_spans(t, ASSIGN, 0, (has(":") | has("=")) & t.rlike(ASSIGN), 2), lambda x: F.length(x["v"]) >= 6)
-    found = docs.withColumn(base, F.array_sort(F.concat(assign, _spans(t, ACCESS, 1, has("AKIA")), _spans(t, HEX, 2, t.rlike(HEX)))))
+    found = docs.withColumn(base, F.array_sort(F.concat(assign, _spans(t, ACCESS, 1, long & has("AKIA")), _spans(t, HEX, 2, long))))
     b = F.col(base)
-    runs = _spans(t, CANDIDATE, 3, t.rlike(CANDIDATE))
-    added = F.filter(runs, lambda x: _suspect(x["v"]) & ~F.exists(b, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
+    added = F.filter(_spans(t, CANDIDATE, 3, long), lambda x: _suspect(x["v"]) & ~F.exists(b, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
     return found.withColumn(out, F.array_sort(F.concat(b, added)))
 
 
