@@ -30,6 +30,8 @@ Signer = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 #: Rows times regions that one task compares at once.
 WORK = 100_000_000
+#: Words of 64 bits in the map of wanted ids: a broadcast of 4 MB at most.
+MAP = 1 << 18
 #: Edges in a file of the tables between rounds.
 EDGES = 200_000
 
@@ -124,10 +126,28 @@ def forest(root: np.ndarray, size: np.ndarray, flat: np.ndarray, threshold: floa
     return out
 
 
+def near(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs with a column near: false only of rows whose id is none of the ids, by a bit map of their hashes of MAP words at
+    most. What it lets through has still to be joined; what it tells apart needs no shuffle."""
+    word, bit = F.expr(f"pmod(xxhash64(id), {MAP})").alias("word"), F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(id), 32), 64) as int))").alias("bit")
+    bits = ids.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    hit = F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False)).alias("near")
+    return docs.select("*", word, bit).join(F.broadcast(bits), "word", "left").select(*docs.columns, hit)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs with none of the ids."""
+    told = near(docs, ids)
+    rest = told.where("near").join(ids.hint("merge"), "id", "left_anti").select(*docs.columns)
+    return told.where("not near").select(*docs.columns).unionAll(rest)
+
+
 def _links(placed: DataFrame, docs: DataFrame, key: str, text: str, words: int, weighted: bool, threshold: float) -> DataFrame:
     """Links (lo, hi) between the representatives of each group of placed (at, id, d1, d2, root)."""
-    wanted = docs.join(placed.select("id").distinct(), "id", "left_semi")
-    held = with_regions(wanted, key, text, words, weighted).join(placed, ["id", "d1", "d2"])
+    ids = placed.select("id").distinct()
+    # texts are joined alike at every size: the other side has no bound that a broadcast could rest on
+    wanted = near(docs, ids).where("near").join(ids.hint("merge"), "id", "left_semi")
+    held = with_regions(wanted, key, text, words, weighted).join(placed.hint("merge"), ["id", "d1", "d2"])
     groups = held.select("at", "id", "root", "size", "regions").repartition("at").sortWithinPartitions("at")
 
     def close(at: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -173,13 +193,15 @@ def stars(edges: DataFrame, label: str) -> DataFrame:
     before = _sum(now)
     while before[0]:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # a table of its own, so that the join deals both sides itself and splits the edges of a hub
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), label)
         large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(down, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(down.select("hi", F.col("m").alias("lo"))).distinct()
         new = staged(small.coalesce(2 * before[0] // EDGES + 1), label)
         after = _sum(new)
         discard(now)
+        discard(least)
         now = new
         if after == before:
             break
@@ -225,7 +247,8 @@ def classes(docs: DataFrame, signer: Signer, key: str = "doc_id", text: str = "t
     dealt = hot.select("bucket", "id", "d1", "d2", F.explode(part).alias("part")).select(F.xxhash64(F.lit(1), "bucket", "part").alias("at"), "id", "d1", "d2", F.col("id").alias("root"))
     again = narrow.groupBy("id").agg(F.min("d1").alias("a"), F.max("d1").alias("b"), F.min("d2").alias("c"), F.max("d2").alias("d")).where("a <> b or c <> d").select("id")
     same = narrow.join(again, "id").select("id", "d1", "d2").join(reps.select("d1", "d2", F.col("id").alias("rep")), ["d1", "d2"]).select(F.col("rep").alias("lo"), F.col("id").alias("hi")).where("lo <> hi")
-    links = staged(_links(whole.unionAll(dealt), texts, *how, threshold).unionAll(same), f"{label}-links")
+    met = staged(whole.unionAll(dealt), f"{label}-met")
+    links = staged(_links(met, texts, *how, threshold).unionAll(same), f"{label}-links")
     roots = stars(links, f"{label}-roots")
 
     # buckets of several parts that still hold several components: what is outside the largest one meets all others
@@ -241,7 +264,7 @@ def classes(docs: DataFrame, signer: Signer, key: str = "doc_id", text: str = "t
         outer = F.transform(F.sequence(F.lit(0), F.col("bulk") - 1), lambda j: F.struct(F.pmod(turn, F.col("rest")).cast("int").alias("a"), (-1 - j).alias("b")))
         bulk = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda j: F.struct(j.alias("a"), (-1 - F.pmod(turn, F.col("bulk")).cast("int")).alias("b")))
         met = open_.select("bucket", "id", "d1", "d2", "root", F.explode(F.when(F.col("root") == F.col("most"), bulk).otherwise(F.concat(inner, outer))).alias("p"))
-        met = met.select(F.xxhash64(F.lit(2), "bucket", "p.a", "p.b").alias("at"), "id", "d1", "d2", "root")
+        met = staged(met.select(F.xxhash64(F.lit(2), "bucket", "p.a", "p.b").alias("at"), "id", "d1", "d2", "root"), f"{label}-met")
         more = staged(_links(met, texts, *how, threshold), f"{label}-more")
         roots = stars(links.unionAll(more), f"{label}-roots")
 

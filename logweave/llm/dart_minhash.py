@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import mix, staged, table
-from ._links import classes
+from ._links import classes, without
 
 #: 45 bands of 7 coordinates miss a pair of similarity 0.8 once in 40,000 times and one of 0.85 once in 10 million.
 BANDS, ROWS = 45, 7
@@ -85,10 +85,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         rows = staged(named.dropDuplicates([key, text]).select(row, F.monotonically_increasing_id().alias("k")), "keyed")
         found = rows.select("k", F.col(f"row.`{key}`").alias("id")).join(near_classes(rows, "k", f"row.`{text}`"), "k")
         kept = found.groupBy("class_id").agg(F.min(F.struct("id", "k"))["k"].alias("k")).select("k")
+        rows = rows.join(kept, "k", "left_semi")
     else:
-        rows = named.select(row, F.col(key).cast("long").alias("k"))
-        kept = near_classes(docs, key, text).where(F.col(key) == F.col("class_id")).select(F.col(key).alias("k"))
-    return rows.join(kept, "k", "left_semi").select("row.*").unionByName(docs.where(F.col(key).isNull()))
+        gone = near_classes(docs, key, text).where(F.col(key) != F.col("class_id")).select(F.col(key).alias("id"))
+        rows = without(named.select(row, F.col(key).cast("long").alias("id")), staged(gone, "dart-gone"))
+    return rows.select("row.*").unionByName(docs.where(F.col(key).isNull()))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
