@@ -19,12 +19,9 @@ MASKS = (
     (r"\b\d{4}[-/]\d{1,2}[-/]\d{1,2}(?:[T\s]\d{1,2}:\d{2}:\d{2}(?:\.\d+)?)?\b", " <DATE> "),
     (r"\b\d{1,2}:\d{2}:\d{2}(?:\.\d+)?\b", " <TIME> "),
     (r"\b0x[0-9a-fA-F]+\b|\b[0-9a-fA-F]{12,}\b", " <HEX> "),
-    (
-        r"(?i)\b(?:blk|block|job|task|attempt|app|application|container|executor|stage|rdd|core|pid|tid|node|host|port)"
-        r"[-_:.]?[A-Za-z0-9_.:-]*\d[A-Za-z0-9_.:-]*\b",
-        " <ID> ",
-    ),
+    (r"(?i)\b(?:blk|block|job|task|attempt|app|application|container|executor|stage|rdd|core|pid|tid|node|host|port)[-_:.]?[A-Za-z0-9_.:-]*\d[A-Za-z0-9_.:-]*\b", " <ID> "),
 )
+# Paths, and the roots under which they vary.
 PATH = r"(?<!\w)(?:/[A-Za-z0-9._+\-=:@%]+){2,}(?:/[A-Za-z0-9._+\-=:@%]*)?"
 VARIABLE_ROOTS = ("/tmp/", "/var/tmp/", "/mnt/", "/data/", "/home/", "/user/", "/users/", "/export/")
 LONG_PATH = 24
@@ -33,6 +30,7 @@ LATE_MASKS = (
     (r"(?<![A-Za-z0-9_])[-+]?\d+\.\d+(?:[eE][-+]?\d+)?(?![A-Za-z0-9_])", " <NUM> "),
     (r"(?<![A-Za-z0-9_])[-+]?\d+(?![A-Za-z0-9_])", " <NUM> "),
 )
+# Tokens of clustering and of retrieval, and placeholders among them.
 TOKEN = r"<[a-z_]+>|[A-Za-z_]+|[0-9]+|[^\sA-Za-z_0-9]"
 QUERY_TOKEN = r"<[a-z_]+>|[A-Za-z_]+|\d+|[^\sA-Za-z_0-9]"
 PLACEHOLDER = r"^<[a-z_]+>$"
@@ -46,6 +44,8 @@ SIGNATURE_MASKS = (
     r"\b(?=\S*\d)(?=\S*[A-Za-z])[A-Za-z0-9_./:=+-]{5,}\b",
 )
 WILD = "<*>"
+# Blanks that a template guess does without.
+TIDY = ((r"\s+([,.;:!?\]\)\}])", "$1"), (r"([\[\(\{])\s+", "$1"), (r"<\s+([a-z_]+)\s+>", "<$1>"), (r"\s+([./:-])\s+", "$1"))
 # Limits of pattern matching, and the largest line number of an unreadable one.
 LEAST_CHARS, LEAST_TOKENS, LEAST_COVERAGE, LEAST_COVERAGE_LOOSE = 12, 2, 0.20, 0.35
 NO_LINE, NO_SAMPLE_LINE, NO_RANK = 2**63 - 1, 10**18, 10**9
@@ -135,7 +135,7 @@ def merge_template(template: Column, toks: Column) -> Column:
 def template_guess(toks: Column) -> Column:
     """Tokens joined by blanks, then blanks around brackets and signs taken out."""
     out = F.array_join(toks, " ")
-    for pattern, by in ((r"\s+([,.;:!?\]\)\}])", "$1"), (r"([\[\(\{])\s+", "$1"), (r"<\s+([a-z_]+)\s+>", "<$1>"), (r"\s+([./:-])\s+", "$1")):
+    for pattern, by in TIDY:
         out = F.regexp_replace(out, _u(pattern), by)
     return F.replace(out, F.lit("< * >"), F.lit(WILD))
 

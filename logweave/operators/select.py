@@ -43,6 +43,11 @@ def balanced(clustered: DataFrame) -> DataFrame:
     return out
 
 
+def in_order(selected: DataFrame) -> DataFrame:
+    """A selection as its file lists it: by dataset, cluster, rank and line number."""
+    return selected.orderBy("dataset", "cluster_id", "selected_rank", "line_id")
+
+
 def representative_only(rows: DataFrame) -> DataFrame:
     """The most frequent row of each cluster."""
     one = rows.withColumn("_r", _first([F.desc("dup_count"), "line_id", "ord"])).where("_r = 1").drop("_r")

@@ -41,7 +41,7 @@ def oracle_sql() -> dict[str, str]:
 # --- shared pieces of the SQL side --------------------------------------------------------------------------------
 
 EVENTS = f"with ev as ({L.LOG_EVENTS_SQL})"
-LINES = """with lines as (select source as dataset, doc_id, doc_id * 1000000 + unnest(range(len(string_split(text, chr(10))))) as ord,
+LINES = """with lines as (select source as dataset, doc_id, doc_id * 100000000 + unnest(range(len(string_split(text, chr(10))))) as ord,
   unnest(string_split(text, chr(10))) as content from documents)"""
 NORM = r"""lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '\b([0-9]{1,3}\.){3}[0-9]{1,3}\b', ' <IP> ', 'g'),
   '/data/[a-z_]+', ' <PATH> ', 'g'), '\b[0-9]+\b', ' <NUM> ', 'g'), '\s+', ' ', 'g')))"""
@@ -100,7 +100,7 @@ def normalize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
  (select 1 from lines t where t.doc_id % 10 = 0 and t.dataset = l.dataset and t.content = l.content)""")
 def test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = L.log_lines(spark, sf_dir)
-    return dedup.test_split(full, full.where("floor(ord / 1000000) % 10 = 0")).select("dataset", "ord", "content")
+    return dedup.test_split(full, full.where("floor(ord / 100000000) % 10 = 0")).select("dataset", "ord", "content")
 
 
 @_query(f"""{LINES}, t as (select distinct dataset, content from lines where doc_id % 10 = 0),
@@ -109,7 +109,7 @@ def test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
  from lines l left join t on t.dataset = l.dataset and t.content = l.content left join k on k.dataset = l.dataset group by l.dataset""")
 def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = L.log_lines(spark, sf_dir)
-    return dedup.split_summary(full, full.where("floor(ord / 1000000) % 10 = 0"))
+    return dedup.split_summary(full, full.where("floor(ord / 100000000) % 10 = 0"))
 
 
 # --- tokens, signatures, clusters ---------------------------------------------------------------------------------
@@ -143,6 +143,45 @@ def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.cluster_summary(_clustered(spark, sf_dir))
 
 
+#: In `log_accounts` lines of the first shape differ in one token of ten (0.9 alike), those of the second in one of five
+#: (0.8), so the first make one cluster and the second one for each text.
+ACCOUNTS = """with ac as (select 'accounts' || (c_nationkey % 3) as dataset, c_custkey as ord, c_custkey % 3 = 0 as apart, lower(c_mktsegment) as seg,
+  ['east', 'north', 'south', 'west'][c_custkey % 4 + 1] as side,
+  case when c_custkey % 3 = 0 then 'notice ' || c_mktsegment || ' for ' || side || ' now' else 'customer ' || c_custkey || ' of segment ' || c_mktsegment || ' in nation ' || c_nationkey || ' opened account' end as content from customer),
+ nz as (select dataset, apart, case when apart then 'notice ' || seg || ' for ' || side || ' now' else 'customer <num> of segment ' || seg || ' in nation <num> opened account' end as normalized_content,
+  min(ord) as ord, count(*) as dup_count, count(distinct content) as u, arg_min(content, ord) as first_content from ac group by all),
+ gr as (select *, case when apart then normalized_content else '' end as g from nz),
+ cc as (select dataset, g, min(ord) as first, cast(sum(u) as bigint) as cluster_size_unique, cast(sum(dup_count) as bigint) as cluster_weight_dup_sum, count(*) as n,
+  case when g = '' and count(*) > 1 then 'customer <num> of segment <*> in nation <num> opened account' else min(normalized_content) end as cluster_template_guess from gr group by dataset, g),
+ cl as (select *, printf('%s_C%07d', dataset, row_number() over (partition by dataset order by first)) as cluster_id from cc)"""
+
+
+def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.cluster(dedup.normalized(dedup.exact(L.log_accounts(spark, sf_dir))))
+
+
+@_query(f"""{ACCOUNTS} select dataset, ord, normalized_content, dup_count, cluster_id, cluster_size_unique, cluster_weight_dup_sum, cluster_template_guess from gr join cl using (dataset, g)""")
+def cluster_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _accounts(spark, sf_dir).select("dataset", "ord", "normalized_content", F.col("dup_count").cast("long").alias("dup_count"), "cluster_id", F.col("cluster_size_unique").cast("long").alias("cluster_size_unique"), F.col("cluster_weight_dup_sum").cast("long").alias("cluster_weight_dup_sum"), "cluster_template_guess")
+
+
+@_query(f"""{ACCOUNTS} select dataset, cluster_id, n as cluster_size_normalized_rows, cluster_size_unique, cluster_weight_dup_sum, cluster_template_guess,
+ cast(case when cluster_weight_dup_sum >= 100000 and cluster_size_unique >= 100 then 3 when cluster_weight_dup_sum >= 1000 and cluster_size_unique >= 10 then 2 else 1 end as int) as recommended_keep_k_balanced from cl""")
+def cluster_accounts_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cluster.cluster_summary(_accounts(spark, sf_dir))
+    counts = [F.col(c).cast("long").alias(c) for c in ("cluster_size_normalized_rows", "cluster_size_unique", "cluster_weight_dup_sum")]
+    return rows.select("dataset", "cluster_id", *counts, "cluster_template_guess", F.col("recommended_keep_k_balanced").cast("int").alias("recommended_keep_k_balanced"))
+
+
+@_query(f"""{EVENTS} select case when dataset = 'click' then '*' else dataset end as scope, count(*) as logs, min(n) as bank_rows from ev
+ join (select dataset as d, count(distinct event_template) as n from ev group by dataset union all select 'click', count(distinct (dataset, event_template)) from ev) on d = dataset and (dataset <> 'click' or n > 6) group by 1""")
+def scope_banks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of `click` are served by all banks, as the one dataset that has none of its own kind is; others by their own."""
+    rename = F.when(F.col("dataset") == "click", "Liberty").otherwise(F.col("dataset"))
+    logs, banks = L.scoped(L.log_events(spark, sf_dir).withColumn("dataset", rename), _bank(spark, sf_dir))
+    return logs.groupBy("scope").agg(F.count("*").alias("logs")).join(banks.groupBy("scope").agg(F.count("*").alias("bank_rows")), "scope").select("scope", "logs", "bank_rows")
+
+
 @_query()
 def cluster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cluster.cluster(dedup.normalized(dedup.exact(L.log_urls(spark, sf_dir))))

@@ -11,6 +11,7 @@ from logweave.functions import text as T
 
 VIEW = ("dataset", "ord", "line_id", "content", "event_template")
 REQUIRED = ("LineId", "Content")
+LINES = 100_000_000
 PREFERRED = ("dataset", "total_logs", "cache_hits", "exact_hits", "signature_hits", "pattern_hits", "llm_calls", "llm_valid", "llm_invalid", "failed")
 
 
@@ -77,9 +78,10 @@ def head(df: DataFrame, n: int | None) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the documents; dataset is their source."""
+    """Lines of the documents; dataset is their source. Places leave room for LINES lines a document; more are an error,
+    never another document's places."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("dataset"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "content"))
-    order = F.col("doc_id") * 1_000_000 + F.col("pos")
+    order = F.col("doc_id") * LINES + F.when(F.col("pos") < LINES, F.col("pos")).otherwise(F.raise_error(F.lit("a document has too many lines")).cast("int"))
     return docs.select("dataset", order.alias("ord"), (order + 1).alias("line_id"), "content", F.lit(None).cast("string").alias("event_template"))
 
 
@@ -136,6 +138,27 @@ def log_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderstatus").alias("dataset"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("line_id"), content.alias("content"), template.alias("event_template"))
 
 
+def log_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two shapes by customer: one whose lines differ in a token of ten, one whose lines differ in a token of five."""
+    c = table(spark, sf_dir, "customer")
+    k, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    side = F.element_at(F.array(*[F.lit(x) for x in ("east", "north", "south", "west")]), (k % 4 + 1).cast("int"))
+    content = F.when(k % 3 == 0, _shape("notice ", segment, " for ", side, " now")).otherwise(_shape("customer ", k, " of segment ", segment, " in nation ", F.col("c_nationkey"), " opened account"))
+    return c.select(_shape("accounts", F.col("c_nationkey") % 3).alias("dataset"), k.alias("ord"), (k + 1).alias("line_id"), content.alias("content"), F.lit(None).cast("string").alias("event_template"))
+
+
+def scoped(logs: DataFrame, banks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Logs and support rows with the scope that joins them: a dataset's own bank, or all banks together under `*`.
+
+    A scope that no bank serves is an error for its logs, found when they are read."""
+    asked = logs.withColumn("scope", T.support_scope(F.col("dataset")))
+    held = banks.withColumn("scope", F.explode(F.array(F.col("dataset"), F.lit("*"))))
+    known = F.broadcast(held.select("scope").distinct().withColumn("_known", F.lit(True)))  # a row for each dataset
+    missing = F.raise_error(F.concat(F.lit("no support bank for "), F.col("scope"))).cast("string")
+    served = asked.join(known, "scope", "left").withColumn("scope", F.when(F.col("_known"), F.col("scope")).otherwise(missing)).drop("_known")
+    return served, held.join(asked.select("scope").distinct(), "scope", "left_semi")
+
+
 def bank(logs: DataFrame) -> DataFrame:
     """The first log of each dataset and template: a support set for retrieval."""
     return logs.groupBy("dataset", "event_template").agg(F.min(F.struct("ord", "line_id", "content")).alias("r")).select("dataset", "r.ord", "r.line_id", "r.content", "event_template")
