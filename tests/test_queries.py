@@ -7,7 +7,7 @@ import pytest
 from logweave.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "events", "pages", "orders")
+TABLES = ("documents", "events", "pages", "orders", "customer")
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
