@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, mix, packed, shingles, slices, staged
+from ._common import discard, mix, packed, shingles, slices, staged, tidy
 
 #: Signer: (region hashes, counts by row) -> one row of band keys for each row.
 Signer = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -68,7 +68,7 @@ def _read(docs: DataFrame, key: str, text: str, words: int, weighted: bool, sche
                 keys = batch.column(0).slice(a, b - a).filter(pa.array(some))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(many.astype(np.int64)), *row(h, many)], names)
 
-    return docs.select("id", "text").mapInArrow(run, schema)
+    return docs.select("id", "text").mapInArrow(tidy(run), schema)
 
 
 def signed(docs: DataFrame, signer: Signer, key: str, text: str, words: int, weighted: bool) -> DataFrame:
@@ -178,7 +178,7 @@ def _links(placed: DataFrame, docs: DataFrame, key: str, text: str, words: int,
         for lo, hi in close(waiting) if waiting else ():
             yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["lo", "hi"])
 
-    return groups.mapInArrow(run, "lo long, hi long")
+    return groups.mapInArrow(tidy(run), "lo long, hi long")
 
 
 def _sum(df: DataFrame) -> tuple:

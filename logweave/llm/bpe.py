@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import table
+from ._common import table, tidy
 
 _NONE = np.int64(1 << 40)
 
@@ -403,7 +403,7 @@ def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
         enc.known.clear()
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(key, text).mapInArrow(tidy(run), f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -418,7 +418,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return docs.select(key, text).mapInArrow(tidy(run), f"{key} {kind}, ids array<int>")
 
 
 def vocabulary() -> str:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import mix, packed, seeds, shingles, slices, table
+from ._common import mix, packed, seeds, shingles, slices, table, tidy
 from ._links import classes, regions
 
 LANES = 128
@@ -122,7 +122,7 @@ def in_runs(docs: DataFrame, key: str, text: str) -> DataFrame:
             tail = np.concatenate([np.zeros(len(ids), bool), np.ones(len(first), bool)])
             yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int64)), pa.array(tail), *taken.columns], ["run", "tail", "id", "key", "text"])
 
-    return rows.mapInArrow(deal, f"run long, tail boolean, id long, key {kind}, text string").repartition(max(2, parts), "run").sortWithinPartitions("run", "tail", F.desc("id"), "text")
+    return rows.mapInArrow(tidy(deal), f"run long, tail boolean, id long, key {kind}, text string").repartition(max(2, parts), "run").sortWithinPartitions("run", "tail", F.desc("id"), "text")
 
 
 def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,7 +175,7 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 if not tail:
                     keys.append(k.as_py())
 
-    return in_runs(docs, key, text).mapInArrow(run, schema)
+    return in_runs(docs, key, text).mapInArrow(tidy(run), schema)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import _GAP, packed, remainder, seeds, slices, span_hashes, table, training_rows, word_bounds
+from ._common import _GAP, packed, remainder, seeds, slices, span_hashes, table, tidy, training_rows, word_bounds
 
 SAMPLE = 3000
 BITS, DIM, EPOCHS, RATE = 17, 8, 8, 0.4
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: F.Column, most
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["doc_id", "y", "ids", "share"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"doc_id {kind}, y int, ids binary, share binary").collect()
+    found = rows.mapInArrow(tidy(run), f"doc_id {kind}, y int, ids binary, share binary").collect()
     seen = {(r["doc_id"], bytes(r["ids"])): r for r in sorted(found, key=lambda r: (r["doc_id"], bytes(r["ids"])))}
     data = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["share"], np.float32), r["y"]) for r in seen.values()]
     return train(data)
@@ -142,7 +142,7 @@ def score(docs: DataFrame, model: Subword, held_out: F.Column, threshold: float
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out), pa.array((out >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import mix, packed, scratch, slices, staged, table
+from ._common import mix, packed, scratch, slices, staged, table, tidy
 from .warc import filesystem
 
 LENGTH, GRAM = 50, 24
@@ -276,7 +276,7 @@ def _shared_anchors(rows: DataFrame, copies: str, buckets: int, folder: str) ->
             columns = list(zip(*out, strict=True)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["kind", "bucket", "label", "keys"])
 
-    seen = staged(rows.mapInArrow(scan, "kind int, bucket int, label long, keys binary"), "anchors")
+    seen = staged(rows.mapInArrow(tidy(scan), "kind int, bucket int, label long, keys binary"), "anchors")
 
     def shared(group: pa.Table) -> pa.Table:
         kinds, labels = group.column("kind").to_numpy(), group.column("label").to_numpy()
@@ -399,7 +399,7 @@ def _within_shards(rows: DataFrame, copies: str, keys: str, buckets: int) -> Dat
                 types = (pa.int32(), pa.int32(), pa.int64(), *(pa.binary(),) * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["kind", "bucket", "label", "ids", "lo", "hi", "bytes"])
 
-    return staged(rows.mapInArrow(run, "kind int, bucket int, label long, ids binary, lo binary, hi binary, bytes binary"), "shards")
+    return staged(rows.mapInArrow(tidy(run), "kind int, bucket int, label long, ids binary, lo binary, hi binary, bytes binary"), "shards")
 
 
 def _words(data: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -524,7 +524,7 @@ def covered_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> t
                 i = np.frombuffer(ids.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_pydict(_found(np.full(len(i), label.as_py()), i, np.frombuffer(lo.as_buffer(), np.int32), np.frombuffer(hi.as_buffer(), np.int32)))
 
-    local = parts.where("kind = 0").select("label", "ids", "lo", "hi").mapInArrow(unpack, _FOUND)
+    local = parts.where("kind = 0").select("label", "ids", "lo", "hi").mapInArrow(tidy(unpack), _FOUND)
     cross = parts.where("kind = 1").groupBy("bucket").applyInArrow(_merge_bucket, _FOUND)
     return rows, copies, _publish(local.unionAll(cross), scratch(spark, "spans"))
 
@@ -563,7 +563,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return rows.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", key)
+    return rows.mapInArrow(tidy(run), "id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", key)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

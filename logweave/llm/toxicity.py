@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SpanHasher, packed, remainder, seeds, slices, staged, table, training_rows, word_bounds
+from ._common import SpanHasher, packed, remainder, seeds, slices, staged, table, tidy, training_rows, word_bounds
 
 SAMPLE = 8000
 # Insults and second-person words of the four languages.
@@ -312,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxi
                 out.append(np.unique(np.concatenate(marks)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "y", "hashes"])
 
-    marked = [(r["doc_id"], np.frombuffer(r["hashes"], np.uint32), r["y"]) for r in sample.mapInArrow(hashes, f"doc_id {kind}, y int, hashes binary").collect()]
+    marked = [(r["doc_id"], np.frombuffer(r["hashes"], np.uint32), r["y"]) for r in sample.mapInArrow(tidy(hashes), f"doc_id {kind}, y int, hashes binary").collect()]
     marked.sort(key=lambda r: (r[0], r[1].tobytes()))
     fold_of = lambda key: zlib.crc32(str(key).encode()) // 16 % FOLDS
     folds = [fold_of(k) for k, _, _ in marked]
@@ -332,7 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxi
                     x[a:b][fold[a:b] == k] = dense(part, at, lexicons[k])[fold[a:b] == k]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    rows = sorted(sample.mapInArrow(values, f"doc_id {kind}, y int, x array<double>").collect(), key=lambda r: (r["doc_id"], r["x"]))
+    rows = sorted(sample.mapInArrow(tidy(values), f"doc_id {kind}, y int, x array<double>").collect(), key=lambda r: (r["doc_id"], r["x"]))
     y = np.array([r["y"] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return Toxicity(final, None, np.zeros(0), np.zeros(0), flat)
@@ -357,7 +357,7 @@ def score(docs: DataFrame, model: Toxicity, held_out: Column, threshold: float =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out), pa.array((out >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Toxicity, threshold: float = 0.3) -> DataFrame:
@@ -372,7 +372,7 @@ def keep_clean(docs: DataFrame, model: Toxicity, threshold: float = 0.3) -> Data
                 keep[a:b] = model.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) < threshold
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import scratch, staged, table
+from ._common import scratch, staged, table, tidy
 
 # Fixed values of the public seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -195,7 +195,7 @@ def write_bundles(pages: DataFrame, folder: str, key: str = "page_id", url: str
         if writer is not None:
             writer.close()
 
-    return staged(placed.unionAll(loose).mapInArrow(run, "page_id long, path string, frame int, offset int, length int"), "warc-index")
+    return staged(placed.unionAll(loose).mapInArrow(tidy(run), "page_id long, path string, frame int, offset int, length int"), "warc-index")
 
 
 def read_bundles(index: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def read_bundles(index: DataFrame) -> DataFrame:
                 reader.close()
 
     paths = index.select("path").distinct()
-    return paths.repartition(max(2, paths.count())).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return paths.repartition(max(2, paths.count())).mapInArrow(tidy(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
