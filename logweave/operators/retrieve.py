@@ -71,9 +71,10 @@ def top_k(queries: DataFrame, bank: DataFrame, k: int, order: list[str], field:
     return best.select(*cols).unionByName(fill.select(*cols)).withColumn("rank", rank()).where(F.col("rank") <= k).select("dataset", "query", "key", "score", "rank")
 
 
-def demonstrations(best: DataFrame, bank: DataFrame) -> DataFrame:
-    """(dataset, query, demos): the examples of each query in retrieval order; those without a template are left out,
-    which leaves gaps in the ranks."""
-    rows = best.join(bank.select("dataset", "key", "line_id", "content", F.col("event_template").alias("template")), ["dataset", "key"]).where("template is not null and template <> ''")
-    demo = F.struct("rank", "line_id", "content", "template", "score")
+def demonstrations(best: DataFrame, bank: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """(dataset, query, demos): the examples of each query in retrieval order, with further bank columns `more`; those
+    without a template are left out, which leaves gaps in the ranks."""
+    held = bank.select("dataset", "key", "line_id", "content", F.col("event_template").alias("template"), *more)
+    rows = best.join(held, ["dataset", "key"]).where("template is not null and template <> ''")
+    demo = F.struct("rank", "line_id", "content", "template", "score", *more)
     return rows.groupBy("dataset", "query").agg(F.array_sort(F.collect_list(demo)).alias("demos"))  # k at most

@@ -99,14 +99,20 @@ def hashed_sample(rows: DataFrame, k: F.Column, salt: str = "") -> DataFrame:
     return _materialized(picked, "hashed_sample")
 
 
-def coverage(selected: DataFrame) -> DataFrame:
-    """Per dataset what a selection covers."""
+def coverage(selected: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Per dataset what a selection covers; with the rows that it was made from, also the clusters that it leaves out. A
+    dataset without any selected row counts then with zeros."""
     per = selected.groupBy("dataset", "cluster_id").agg(F.count("*").alias("k"), F.sum("dup_count").alias("w"), F.sum("normalized_unique_content_count").alias("u"))
     count = lambda c: F.count_if(c)
-    return per.groupBy("dataset").agg(
+    found = per.groupBy("dataset").agg(
         F.sum("k").alias("selected_log_count"), F.count("*").alias("covered_cluster_count"), F.sum("w").alias("selected_dup_weight_sum"), F.sum("u").alias("selected_unique_content_sum"),
         count(F.col("k") == 1).alias("clusters_with_1_sample"), count(F.col("k") == 2).alias("clusters_with_2_sample"), count(F.col("k") >= 3).alias("clusters_with_3plus_sample"), F.max("k").alias("max_cluster_selected_count"),
     )
+    if rows is None:
+        return found
+    whole = rows.select("dataset", "cluster_id").distinct().groupBy("dataset").agg(F.count("*").alias("cluster_count"))
+    found = whole.join(found, "dataset", "left").na.fill(0)
+    return found.withColumn("clusters_with_0_sample", F.col("cluster_count") - F.col("covered_cluster_count"))
 
 
 def runs(strategies: list[str], seeds: list[int]) -> list[tuple[str, int | None, str]]:
@@ -115,3 +121,21 @@ def runs(strategies: list[str], seeds: list[int]) -> list[tuple[str, int | None,
     for s in strategies:
         out += [(s, x, f"{s}_seed{x}") for x in seeds] if s.startswith("random") else [(s, None, s)]
     return out
+
+
+def selections(rows: DataFrame, strategies: list[str], seeds: list[int]) -> dict[str, DataFrame]:
+    """The selection of each run: rows are clustered, and the counts to match are those of the balanced selection."""
+    chosen = balanced(rows)
+    out: dict[str, DataFrame] = {}
+    for strategy, seed, name in runs(strategies, seeds):
+        if strategy == "random_global_matched":
+            counts = {r["dataset"]: r["n"] for r in chosen.groupBy("dataset").agg(F.count("*").alias("n")).collect()}  # a row for each dataset
+            out[name] = random_global(rows, counts, seed)
+        elif strategy == "random_cluster_matched":
+            keep = chosen.groupBy("dataset", "cluster_id").agg(F.max("cluster_keep_k").alias("cluster_keep_k"))
+            out[name] = random_cluster(rows.drop("cluster_keep_k").join(keep, ["dataset", "cluster_id"]), seed)
+        elif strategy == "representative_only":
+            out[name] = representative_only(rows)
+        else:
+            raise ValueError(f"unknown strategy: {strategy}")
+    return out

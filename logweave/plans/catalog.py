@@ -228,9 +228,11 @@ def hashed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""{PROXY}, s as (select * from (select *, row_number() over (partition by dataset, cluster_id order by md5('7' || line_id), line_id) as r from cl) where r <= 3),
  g as (select dataset, cluster_id, count(*) as k, sum(dup_count) as w from s group by dataset, cluster_id)
  select dataset, cast(sum(k) as bigint) as selected_log_count, count(*) as covered_cluster_count, cast(sum(w) as bigint) as selected_dup_weight_sum, cast(sum(k) as bigint) as selected_unique_content_sum,
- count(*) filter (k = 1) as clusters_with_1_sample, count(*) filter (k = 2) as clusters_with_2_sample, count(*) filter (k >= 3) as clusters_with_3plus_sample, max(k) as max_cluster_selected_count from g group by dataset""")
+ count(*) filter (k = 1) as clusters_with_1_sample, count(*) filter (k = 2) as clusters_with_2_sample, count(*) filter (k >= 3) as clusters_with_3plus_sample, max(k) as max_cluster_selected_count,
+  any_value(total) as cluster_count, any_value(total) - count(*) as clusters_with_0_sample from g join (select dataset, count(distinct cluster_id) as total from cl group by dataset) using (dataset) group by dataset""")
 def ablation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.coverage(select.hashed_sample(_proxy(spark, sf_dir), F.lit(3), "7"))
+    rows = _proxy(spark, sf_dir)
+    return select.coverage(select.hashed_sample(rows, F.lit(3), "7"), rows)
 
 
 @_query()
@@ -295,9 +297,10 @@ def lite_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fewshot.lite_decisions(_samples(spark, sf_dir))
 
 
-@_query(f"""{_SAMPLES}{_LITE} select coalesce(dataset, 'TOTAL') as dataset, cast(sum(keep_count) as bigint) as query_sample_count, count(*) filter (kind = 'trivial') as trivial_cluster_count,
+@_query(f"""{_SAMPLES}{_LITE}, sized as (select lite.*, n from lite join cl using (dataset, cluster_id)) select coalesce(dataset, 'TOTAL') as dataset, cast(sum(n) as bigint) as retrieval_log_count, cast(sum(keep_count) as bigint) as query_sample_count,
+ printf('%.6f', sum(keep_count) / sum(n)) as query_ratio, count(*) filter (kind = 'trivial') as trivial_cluster_count,
  count(*) filter (kind = 'single_var') as single_var_cluster_count, count(*) filter (kind = 'medium') as medium_cluster_count, count(*) filter (kind = 'complex') as complex_cluster_count,
- count(*) filter (kind = 'very_complex') as very_complex_cluster_count from lite group by rollup (dataset)""")
+ count(*) filter (kind = 'very_complex') as very_complex_cluster_count from sized group by rollup (dataset)""")
 def lite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fewshot.lite_summary(_samples(spark, sf_dir))
 
@@ -329,6 +332,25 @@ def fewshot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("variant_name", "variant_type", "shot", "dataset", "line_id", F.array_join(F.col("example_line_ids").cast("array<string>"), ",").alias("example_line_ids"), record.alias("record"))
 
 
+@_query(f"""{BANK}, {_INDEX}, asked as (select dataset, ord as query, content as qc, toks as qt from docs), {_SCORES.format(skip='d.ord <> q.query')},
+ top as (select *, dataset || ':' || length(content) as c, substr(md5(event_template), 1, 8) as e from (select *, row_number() over (partition by dataset, query order by score desc, line_id, key) as rank from sc) where rank <= 3), {_VARIANTS},
+ used as (select v.*, a.dataset, a.query, string_agg(t.c, ',' order by t.rank desc) as cs, string_agg(t.e, ',' order by t.rank desc) as es from asked a cross join v left join top t on t.dataset = a.dataset and t.query = a.query and t.rank <= v.shot group by all)
+ select variant_name, cast(shot as int) as shot, u.dataset, d.line_id, substr(md5(d.event_template), 1, 8) as event_id, d.dataset || ':' || length(d.content) as cluster_id, coalesce(es, '') as example_event_ids, coalesce(cs, '') as example_cluster_ids
+ from used u join docs d on d.dataset = u.dataset and d.ord = u.query""")
+def fewshot_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = _samples(spark, sf_dir)
+    lists = [F.array_join(c, ",").alias(c) for c in ("example_event_ids", "example_cluster_ids")]
+    return fewshot.records(samples, samples, 3).select("variant_name", "shot", "dataset", "line_id", "event_id", "cluster_id", *lists)
+
+
+@_query(f"""{_SAMPLES}{_LITE}, {_VARIANTS}, g as (select variant_name, variant_type, count(*) as shots, string_agg(shot, ',' order by shot) as shot_numbers from v group by 1, 2),
+ n as (select dataset, count(*) as n from samples group by dataset), q as (select dataset, cast(sum(keep_count) as bigint) as q from lite group by dataset)
+ select variant_name, variant_type, shot_numbers, dataset, n as retrieval_log_count, q as query_log_count, q * shots as jsonl_record_count, 'content' as retrieval_field, 'chat' as output_format, 'lite' as query_mode from g cross join n join q using (dataset)""")
+def experiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = _samples(spark, sf_dir)
+    return fewshot.experiment_summary(fewshot.lite_queries(samples), samples, 3, form="chat", mode="lite")
+
+
 @_query(f"""{BANK}, {_VARIANTS} select variant_name, variant_type, count(*) as n from bank cross join v group by 1, 2""")
 def variant_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _bank(spark, sf_dir).agg(F.count("*").alias("c"))
@@ -433,6 +455,27 @@ def export_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.export_predictions(_parsed(spark, sf_dir))
 
 
+#: The bank of _SMALL with line numbers, for retrieval.
+_SMALL_LINES = _SMALL.replace("arg_min(content, ord) as content", "arg_min(content, ord) as content, arg_min(line_id, ord) as line_id")
+
+
+@_query(f"""{_SMALL_LINES}, {_PARSED}, {_INDEX}, asked as (select ev.dataset, ev.content as qc, min(ev.ord) as query, {TOKENS % 'lower(ev.content)'} as qt from ev join answers a on a.dataset = ev.dataset and a.content = ev.content
+  where a.decision_source = 'llm' group by ev.dataset, ev.content), {_SCORES.format(skip='d.content <> q.qc')},
+ top as (select * from (select *, row_number() over (partition by dataset, query order by score desc, cast(line_id as varchar), content) as rank from sc) where rank <= 3),
+ demos as (select dataset, query, count(*) as n, string_agg(cast(line_id as varchar), '|' order by rank) as lines, arg_min(event_template, rank) as event_template from top group by dataset, query),
+ walked as (select *, {_WALK} as w from (select a.dataset, a.qc as content, d.n, d.lines, d.event_template, {_PARTS} as parts from asked a join demos d using (dataset, query))),
+ told as (select dataset, content, n, lines, w.err = 0 as good, event_template from walked)
+ select p.dataset, p.ord, cast(p.line_id as varchar) as line_id, case when t.good then t.event_template else p.predicted_template end as predicted_template, p.decision_source, p.decision_source like '%cache' as cache_hit,
+  cast(coalesce(t.n, 0) as int) as num_demos, cast(case when p.decision_source <> 'llm' then 0 when t.good then 1 else 2 end as int) as model_attempts, coalesce(t.lines, '') as demo_line_ids,
+  case when p.decision_source <> 'llm' then '' else '<START>' || (case when t.good then t.event_template else p.predicted_template end) || '<END>' end as raw_response, p.event_template as ground_truth_template
+ from parsed p left join told t on t.dataset = p.dataset and t.content = p.content and p.decision_source = 'llm'""")
+def parse_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Demonstrations reach the generator, which answers with the best one's template first and the signature after it."""
+    logs = L.log_events(spark, sf_dir)
+    rows = parse.predictions(logs, L.bank(logs.where("ord % 6 not in (1, 2)")), parse.nearest_generator, 3, 2)
+    return rows.select("dataset", "ord", "line_id", "predicted_template", "decision_source", "cache_hit", "num_demos", "model_attempts", "demo_line_ids", "raw_response", "ground_truth_template")
+
+
 @_query()
 def parse_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.parse_ordered(L.log_events(spark, sf_dir)).select("dataset", "ord", "predicted_template", "decision_source")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,24 +12,44 @@ from pyspark.sql import functions as F
 
 from logweave.functions import templates as P
 from logweave.functions import text as T
+from logweave.operators.retrieve import demonstrations, top_k
 
 
-def signature_generator(content: Column) -> Column:
+#: From content, demonstrations (the best last; None for none) and the number of the attempt to the raw answer.
+Generator = Callable[..., Column]
+DEMOS = "array<struct<rank:int,line_id:bigint,content:string,template:string,score:double>>"
+
+
+def signature_generator(content: Column, demos: Column | None = None, attempt: int = 1) -> Column:
     """The default generator: the log's signature as its template, in the answer's tags."""
     return T.template_answer(T.signature(content))
 
 
-def python_generator(make: Callable[[], Callable[[list[str]], list[str]]], instruction: str = T.INSTRUCTION) -> Callable[[Column], Column]:
-    """A generator from a Python model: `make` loads it once in each worker, and it answers prompts batch by batch."""
+def nearest_generator(content: Column, demos: Column | None = None, attempt: int = 1) -> Column:
+    """The template of the best demonstration at first, then the log's signature."""
+    if demos is None or attempt > 1:
+        return signature_generator(content)
+    return T.template_answer(F.coalesce(F.try_element_at(demos, F.lit(-1))["template"], F.lit("")))
+
+
+def python_generator(make: Callable[[], Callable[[list], list[str]]], instruction: str = T.INSTRUCTION, chat: bool = False) -> Generator:
+    """A generator from a Python model: `make` loads it once in each worker, and it answers batch by batch. It gets
+    prompts as strings or, as a chat, lists of messages; rows that are answered already do not reach it."""
 
     @F.pandas_udf("string")
     def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
         for prompts in batches:
-            yield pd.Series(model(list(prompts)), dtype=object)
+            asked = prompts.dropna()
+            said = model([json.loads(x) for x in asked] if chat else list(asked)) if len(asked) else []
+            yield pd.Series(list(said), index=asked.index, dtype=object).reindex(prompts.index)
+
+    def generate(content: Column, demos: Column | None = None, attempt: int = 1) -> Column:
+        shown = F.expr(f"cast(array() as {DEMOS})") if demos is None else demos
+        asked = F.to_json(T.messages(content, shown, instruction)) if chat else F.concat(F.lit(instruction + "\n\n"), T.build_input(content, shown))
+        return answer(F.when(content.isNotNull(), asked))
 
-    none = F.expr("cast(array() as array<struct<content:string,template:string>>)")
-    return lambda content: answer(F.concat(F.lit(instruction + "\n\n"), T.build_input(content, none)))
+    return generate
 
 
 def match_patterns(logs: DataFrame, bank: DataFrame) -> DataFrame:
@@ -44,13 +65,10 @@ def match_patterns(logs: DataFrame, bank: DataFrame) -> DataFrame:
     return scored.groupBy("dataset", "content").agg(F.max_by("p.template", F.struct("score", "_ord")).alias("template"))
 
 
-def parse_sets(logs: DataFrame, bank: DataFrame, generator: Callable[[Column], Column] = signature_generator) -> DataFrame:
-    """Predictions of all logs by joins: a bank log of equal content, of equal signature whose template is valid, a
-    bank pattern, or else the generator, run once for each distinct content and checked.
-
-    The order of look-ups is that of the ordered mode. Its results differ where that mode's caches drop entries or learn
-    from earlier logs of the same run."""
-    asked = logs.select("dataset", "content").distinct()
+def _look_up(logs: DataFrame, bank: DataFrame) -> DataFrame:
+    """(dataset, content, query, _exact, _sign, _pattern) of distinct logs: what each level of look-up answers. query is the
+    place of the content's first log. Patterns are tried for logs that no other level answers."""
+    asked = logs.groupBy("dataset", "content").agg(F.min("ord").alias("query"))
     known = bank.where("event_template is not null and event_template <> ''")
     exact = known.groupBy("dataset", "content").agg(F.max_by("event_template", "ord").alias("_exact"))
     signed = known.select("dataset", T.signature(F.col("content")).alias("_sig"), "event_template", "ord")
@@ -61,13 +79,76 @@ def parse_sets(logs: DataFrame, bank: DataFrame, generator: Callable[[Column], C
     m = P.match(F.col("content"), p)
     rank = F.struct(F.when(m.isNotNull(), 2).otherwise(1).alias("s0"), F.coalesce(m, P.plain_score(p)).alias("s"))
     by_sign = tries.withColumn("rank", rank).groupBy("dataset", "content").agg(F.max_by("event_template", F.struct("rank", "ord")).alias("_sign"))
-    found = named.join(exact, ["dataset", "content"], "left").join(by_sign, ["dataset", "content"], "left").join(match_patterns(logs, known).withColumnRenamed("template", "_pattern"), ["dataset", "content"], "left")
+    found = asked.join(exact, ["dataset", "content"], "left").join(by_sign, ["dataset", "content"], "left")
+    patterns = match_patterns(found.where("_exact is null and _sign is null"), known).withColumnRenamed("template", "_pattern")
+    return found.join(patterns, ["dataset", "content"], "left")
+
+
+def _source(valid: Column) -> Column:
+    return F.when(F.col("_exact").isNotNull(), "exact_cache").when(F.col("_sign").isNotNull(), "signature_cache").when(F.col("_pattern").isNotNull(), "pattern_cache").when(valid, "llm").otherwise("failed")
+
+
+def _same(logs: DataFrame, contents: DataFrame) -> DataFrame:
+    """Logs (l) with what is known of their content (f), null ones too."""
+    same = F.col("l.dataset").eqNullSafe(F.col("f.dataset")) & F.col("l.content").eqNullSafe(F.col("f.content"))
+    return logs.alias("l").join(contents.alias("f"), same)
+
+
+def parse_sets(logs: DataFrame, bank: DataFrame, generator: Generator = signature_generator) -> DataFrame:
+    """Predictions of all logs by joins: a bank log of equal content, of equal signature whose template is valid, a
+    bank pattern, or else the generator, run once for each distinct content and checked.
+
+    The order of look-ups is that of the ordered mode. Its results differ where that mode's caches drop entries or learn
+    from earlier logs of the same run. A null content fails; no logs give no rows, and an empty bank leaves all to the
+    generator."""
+    found = _look_up(logs, bank)
     found = found.withColumn("_made", F.when(F.coalesce("_exact", "_sign", "_pattern").isNull(), T.extract_template(generator(F.col("content")))))
     valid = (F.col("_made") != "") & P.validate(F.col("content"), F.col("_made"))["valid"]
-    source = F.when(F.col("_exact").isNotNull(), "exact_cache").when(F.col("_sign").isNotNull(), "signature_cache").when(F.col("_pattern").isNotNull(), "pattern_cache").when(valid, "llm").otherwise("failed")
     answer = F.coalesce("_exact", "_sign", "_pattern", F.when(valid, F.col("_made")), F.lit(""))
-    decided = found.select("dataset", "content", T.squeeze(answer).alias("predicted_template"), source.alias("decision_source"))
-    return logs.join(decided, ["dataset", "content"]).select("dataset", "ord", "line_id", "content", "event_template", "predicted_template", "decision_source")
+    decided = found.select("dataset", "content", T.squeeze(answer).alias("predicted_template"), _source(valid).alias("decision_source"))
+    return _same(logs, decided).select("l.dataset", "ord", "line_id", "l.content", "event_template", "predicted_template", "decision_source")
+
+
+def predictions(logs: DataFrame, bank: DataFrame, generator: Generator = signature_generator, shots: int = 5, attempts: int = 1, field: str = "content") -> DataFrame:
+    """The whole record of each log: look-ups as in parse_sets; a content that they leave open gets the best `shots` logs of
+    its dataset's bank (none of equal content) as demonstrations, and the generator is asked up to `attempts` times until an
+    answer is valid. Logs of null content, and those of an empty bank, get no demonstration. Joins keep no clock for a row,
+    so the times are null."""
+    found = _look_up(logs, bank)
+    open_ = found.where("_exact is null and _sign is null and _pattern is null").select("dataset", "content", "query")
+    if shots > 0:
+        keyed = bank.withColumns({"key": F.col("ord"), "_line": F.col("line_id").cast("string")})
+        shown = demonstrations(top_k(open_, keyed, shots, ["_line", "content"], field), keyed).withColumn("demos", F.col("demos").cast(DEMOS))
+        open_ = open_.join(shown, ["dataset", "query"], "left")
+    else:
+        open_ = open_.withColumn("demos", F.lit(None).cast(DEMOS))
+    open_ = open_.withColumn("demos", F.coalesce("demos", F.expr(f"cast(array() as {DEMOS})")))
+    best_last = F.reverse("demos")
+    open_ = open_.withColumns({"raw": F.lit(None).cast("string"), "made": F.lit(""), "valid": F.lit(False), "tries": F.lit(0)})
+    for k in range(1, attempts + 1):
+        asked = F.when(~F.col("valid"), F.col("content"))  # null: answered already
+        open_ = open_.withColumn("raw", F.when(F.col("valid"), F.col("raw")).otherwise(generator(asked, best_last, k)))
+        open_ = open_.withColumns({"made": F.coalesce(T.extract_template(F.col("raw")), F.lit("")), "tries": F.when(F.col("valid"), F.col("tries")).otherwise(k)})
+        open_ = open_.withColumn("valid", F.coalesce((F.col("made") != "") & P.validate(F.col("content"), F.col("made"))["valid"], F.lit(False)))
+    told = open_.select(
+        "dataset", "query", "raw", "made", "valid", "tries", F.size("demos").alias("shown"),
+        F.array_join(F.transform("demos", lambda d: d["line_id"].cast("string")), "|").alias("lines"),
+        F.array_join(F.transform("demos", lambda d: F.format_string("%.6f", d["score"])), "|").alias("scores"),
+    )
+    decided = found.join(told, ["dataset", "query"], "left")
+    valid = F.coalesce("valid", F.lit(False))
+    answer = F.coalesce("_exact", "_sign", "_pattern", F.when(valid, F.col("made")), F.lit(""))
+    decided = decided.select("dataset", F.col("query").alias("_query"), T.squeeze(answer).alias("predicted_template"), _source(valid).alias("decision_source"), "raw", "tries", "shown", "lines", "scores")
+    first = logs.groupBy("dataset", "content").agg(F.min("ord").alias("_query"))
+    rows = _same(logs, first).select("l.*", "_query").join(decided, ["dataset", "_query"])
+    source, none = F.col("decision_source"), F.lit(None).cast("double")
+    times = [none.alias(c) for c in ("latency_ms", "cache_lookup_ms", "retrieval_ms", "prompt_build_ms", "llm_query_ms", "validation_ms")]
+    return rows.select(
+        "dataset", "ord", F.col("line_id").cast("string").alias("line_id"), "content", "predicted_template", "decision_source", source.endswith("_cache").alias("cache_hit"),
+        *[(source == f"{x}_cache").alias(f"{x}_cache_hit") for x in ("exact", "signature", "pattern")], F.coalesce("shown", F.lit(0)).alias("num_demos"), *times,
+        F.coalesce("tries", F.lit(0)).alias("model_attempts"), F.coalesce("raw", F.lit("")).alias("raw_response"), F.col("event_template").alias("ground_truth_template"),
+        F.coalesce("lines", F.lit("")).alias("demo_line_ids"), F.coalesce("scores", F.lit("")).alias("demo_scores"),
+    )
 
 
 class _Recent(OrderedDict):
@@ -190,7 +271,7 @@ def fold(rows: Iterable[tuple[str, str, str]], caches: TemplateCaches) -> list[t
     return out
 
 
-def parse_ordered(logs: DataFrame, generator: Callable[[Column], Column] = signature_generator, group: tuple[str, ...] = ("dataset",), **sizes: int | str) -> DataFrame:
+def parse_ordered(logs: DataFrame, generator: Generator = signature_generator, group: tuple[str, ...] = ("dataset",), **sizes: int | str) -> DataFrame:
     """The same row after row: each answer teaches the caches, which belong to one group. Sequential in a group by
     definition; split a large dataset by a further group column where its order does not matter."""
     made = logs.withColumns({"_sig": T.signature(F.col("content")), "_made": T.extract_template(generator(F.col("content")))})

@@ -224,3 +224,66 @@ def test_loaders(spark, tmp_path):
     row = back.select(q.alias("q"), a.alias("a")).first()
     assert row["q"].startswith(T.INSTRUCTION) and row["a"].startswith("<START>t")
     assert L.ints_from("1, 2") == [1, 2]
+
+
+def test_predictions(spark):
+    bank = spark.createDataFrame([("a", 1, 2, "disk nine is full", "disk <*> is full"), ("a", 2, 3, "link up now", "")], VIEW)
+    logs = spark.createDataFrame(
+        [("a", 10, 11, "disk nine is full", None), ("a", 11, 12, "disk ten is full", "disk <*> is full"), ("a", 12, 13, "disk ten is full", None), ("a", 13, 14, "fan 7 slow", None), ("a", 14, 15, None, None), ("b", 1, 2, "no bank 5", None)], VIEW
+    )
+    rows = {(r["dataset"], r["ord"]): r for r in parse.predictions(logs, bank, parse.nearest_generator, 3, 2).collect()}
+    assert len(rows) == 6
+    assert rows["a", 10]["decision_source"] == "exact_cache" and rows["a", 10]["model_attempts"] == 0 and rows["a", 10]["exact_cache_hit"]
+    one = rows["a", 11]
+    # the bank row without a template is retrieved but not shown
+    assert (one["predicted_template"], one["decision_source"], one["num_demos"], one["demo_line_ids"], one["model_attempts"]) == ("disk <*> is full", "llm", 1, "2", 1)
+    assert float(one["demo_scores"]) > 0 and one["raw_response"] == "<START>disk <*> is full<END>" and rows["a", 12]["model_attempts"] == 1
+    assert (rows["a", 13]["predicted_template"], rows["a", 13]["model_attempts"]) == ("fan <*> slow", 2)
+    assert (rows["a", 14]["predicted_template"], rows["a", 14]["decision_source"]) == ("", "failed")
+    assert (rows["b", 1]["num_demos"], rows["b", 1]["predicted_template"]) == (0, "no bank <*>")
+    assert parse.predictions(logs.limit(0), bank).count() == 0
+    assert {r["ord"]: r["decision_source"] for r in parse.parse_sets(logs, bank).collect()}[14] == "failed"
+    assert parse.predictions(logs, bank, shots=0).where("num_demos > 0").count() == 0
+
+
+def test_predictions_chat(spark):
+    def make():
+        def model(chats):
+            assert all(c[0]["role"] == "system" and c[-1]["role"] == "user" for c in chats)
+            return ["<START>" + ("disk <*> is full" if "Examples:" in c[-1]["content"] else "none") + "<END>" for c in chats]
+
+        return model
+
+    bank = spark.createDataFrame([("a", 1, 2, "disk nine is full", "disk <*> is full")], VIEW)
+    logs = spark.createDataFrame([("a", 5, 6, "disk ten is full", None), ("b", 6, 7, "disk ten is full", None)], VIEW)
+    rows = {r["dataset"]: r for r in parse.predictions(logs, bank, parse.python_generator(make, chat=True), 2, 2).collect()}
+    assert (rows["a"]["predicted_template"], rows["a"]["model_attempts"]) == ("disk <*> is full", 1)
+    assert (rows["b"]["decision_source"], rows["b"]["model_attempts"], rows["b"]["raw_response"]) == ("failed", 2, "<START>none<END>")
+
+
+def test_coverage_of_all_clusters(spark):
+    rows = spark.createDataFrame([("a", "c1", 2, 1), ("a", "c2", 1, 1), ("b", "c3", 1, 1)], "dataset string, cluster_id string, dup_count int, normalized_unique_content_count int")
+    found = {r["dataset"]: r for r in select.coverage(rows.where("cluster_id = 'c1'"), rows).collect()}
+    assert (found["a"]["cluster_count"], found["a"]["clusters_with_0_sample"], found["a"]["selected_dup_weight_sum"]) == (2, 1, 2)
+    assert (found["b"]["covered_cluster_count"], found["b"]["clusters_with_0_sample"], found["b"]["selected_log_count"]) == (0, 1, 0)
+
+
+def test_generate_all(spark, tmp_path):
+    rows = [("a", i, i, f"job {i} of node {w} done", "job <*> of node <*> done", f"job <num> of node {w} done", f"c{i % 2}", 1) for i, w in enumerate(("x", "y", "z"))]
+    samples = spark.createDataFrame(rows, VIEW + ", normalized_content string, cluster_id string, selected_rank int")
+    fewshot.generate_all(samples, str(tmp_path), 1, mode="lite")
+    kept = fewshot.lite_queries(samples).count()
+    assert kept
+    lines = spark.read.text(str(tmp_path / "train"))
+    told = spark.read.json(str(tmp_path / "metadata"))
+    shots = {"0-shot-only": 1, "1-shot-only": 1, "0-1-shot": 2}
+    for table in (lines.groupBy("variant_name").count(), told.groupBy("variant_name").count()):
+        assert {r["variant_name"]: r["count"] for r in table.collect()} == {v: n * kept for v, n in shots.items()}
+    shown = told.where("shot = 1").first()
+    assert len(shown["example_line_ids"]) == len(shown["example_event_ids"]) == len(shown["example_cluster_ids"]) == 1 and shown["event_id"]
+    summary = {r["variant_name"]: r for r in spark.read.csv(str(tmp_path / "experiment_summary"), header=True).collect()}
+    assert summary["0-1-shot"]["shot_numbers"] == "0,1" and int(summary["0-1-shot"]["jsonl_record_count"]) == 2 * kept
+    lite = {r["dataset"]: r for r in spark.read.csv(str(tmp_path / "lite_query_summary"), header=True).collect()}
+    assert lite["TOTAL"]["query_ratio"] == f"{kept / 3:.6f}"
+    with pytest.raises(ValueError):
+        fewshot.generate_all(samples, str(tmp_path), mode="half")
