@@ -34,6 +34,8 @@ from .warc import filesystem
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
 SHARD_BYTES, UNIT_BYTES = 1 << 22, 3 << 19
+KEY_BITS = 64  # of the numbers sorted with the place in their low bits
+STEP = 1 << 16  # bytes hashed at a time, so that the arrays stay in the cache
 _B = 0x9E3779B97F4A7C15
 
 
@@ -78,71 +80,99 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, np.flatnonzero(top == h)
 
 
+def byte_words(data: np.ndarray) -> np.ndarray:
+    """At each place and at the end: the next 8 bytes as a big-endian number, zeros behind the end; by doubling."""
+    word = np.zeros(len(data) + 8, np.uint64)
+    word[: len(data)] = data
+    for have in (1, 2, 4):
+        word = (word[:-have] << np.uint64(8 * have)) | word[have:]
+    return word
+
+
 def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Larsson-Sadakane: sort by 8 bytes, then refine only groups still equal, doubling the depth."""
+    """Larsson-Sadakane: sort by the first bytes, then refine only groups still equal, doubling the depth. Each sort is of
+    single numbers with the place in their low bits where these fit, which is much faster than a sort of indices."""
     n = len(data)
-    wide = np.zeros(n + 8, np.uint64)
-    wide[:n] = data.astype(np.uint64) + np.uint64(1)
-    key = np.zeros(n, np.uint64)
-    for j in range(7):  # 9 bits a byte: the end sorts before every byte
-        key = (key << np.uint64(9)) | wide[j : j + n]
-    sa = np.argsort(key)
-    k = key[sa]
+    kind = np.int32 if n < 1 << 30 else np.int64
+    if not n:
+        return np.zeros(0, kind)
+    place_bits = np.uint64(n.bit_length())
+    used = np.bincount(data, minlength=256) > 0
+    code = np.cumsum(used).astype(np.uint64)  # of the bytes that occur, in their order; 0 is the end, before every byte
+    bits = int(code[-1]).bit_length()
+    depth = max(1, min(n, (KEY_BITS - int(place_bits)) // bits))
+    wide = np.zeros(n + depth, np.uint64)
+    wide[:n] = code[data]
+    key = wide[:n].copy()
+    for j in range(1, depth):
+        key <<= np.uint64(bits)
+        key |= wide[j : j + n]
+    key <<= place_bits
+    key |= np.arange(n, dtype=np.uint64)
+    key.sort()
+    sa = (key & ((np.uint64(1) << place_bits) - np.uint64(1))).astype(kind)
+    key >>= place_bits
     new = np.ones(n, bool)
-    new[1:] = k[1:] != k[:-1]
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    del key, wide
+    rank = np.empty(n + 1, kind)  # 0 is the end
+    rank[n] = 0
     begin = np.flatnonzero(new)
-    rank[sa] = np.repeat(begin, np.diff(np.append(begin, n)))
-    del key, k, wide
+    rank[sa] = np.repeat((begin + 1).astype(kind), np.diff(np.append(begin, n)))
     alone = new.copy()
     alone[:-1] &= new[1:]
-    open_at, depth = np.flatnonzero(~alone), 7
+    open_at = np.flatnonzero(~alone)
+    first = new[open_at]
     while len(open_at):
-        pos = sa[open_at]
-        group = rank[pos]
-        ahead = rank[np.minimum(pos + depth, n)] + 1
-        order = np.argsort((group.astype(np.uint64) << np.uint64(32)) | ahead.astype(np.uint64))
-        pos, group, ahead = pos[order], group[order], ahead[order]
+        pos = sa[open_at]  # groups lie together and in order, so only the places within each are sorted
+        group = np.cumsum(first).astype(np.uint64) - np.uint64(1)
+        ahead = rank[np.minimum(pos + kind(depth), n)].astype(np.uint64)
+        if int(group[-1]).bit_length() + 2 * int(place_bits) <= KEY_BITS:
+            key = (((group << place_bits) | ahead) << place_bits) | pos.astype(np.uint64)
+            key.sort()
+            pos = (key & ((np.uint64(1) << place_bits) - np.uint64(1))).astype(kind)
+            key >>= place_bits
+        else:
+            key = (group << place_bits) | ahead
+            order = np.argsort(key)
+            pos, key = pos[order], key[order]
         sa[open_at] = pos
         first = np.ones(len(pos), bool)
-        first[1:] = (group[1:] != group[:-1]) | (ahead[1:] != ahead[:-1])
+        np.not_equal(key[1:], key[:-1], out=first[1:])
         starts = np.flatnonzero(first)
-        rank[pos] = np.repeat(open_at[starts], np.diff(np.append(starts, len(pos))))
+        rank[pos] = np.repeat((open_at[starts] + 1).astype(kind), np.diff(np.append(starts, len(pos))))
         single = first.copy()
         single[:-1] &= first[1:]
-        open_at, depth = open_at[~single], depth * 2
+        open_at, first, depth = open_at[~single], first[~single], depth * 2
     return sa
 
 
 def common_prefixes(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """Kasai: lcp[k] of the suffixes sa[k-1] and sa[k]; lcp[0] = 0."""
     n = len(data)
-    before = np.full(n, -1, np.int64)
+    if not n:
+        return np.zeros(0, np.int64)
+    before = np.full(n, -1, sa.dtype)
     before[sa[1:]] = sa[:-1]
-    at = np.arange(n)
-    prior = np.where((at > 0) & (before > 0), data[np.maximum(before, 1) - 1], 0)
-    same = (at > 0) & (before > 0) & (data[np.maximum(at, 1) - 1] == prior)
+    same = np.zeros(n, bool)
+    same[1:] = (before[1:] > 0) & (data[before[1:] - 1] == data[:-1])
     places = np.flatnonzero(~same)  # elsewhere the prefix is one shorter than a place earlier
-    other = before[places]
+    other = before[places].astype(np.int64)
     size = np.zeros(len(places), np.int64)
-    wide = np.zeros(n + 8, np.uint64)
-    wide[:n] = data.astype(np.uint64) + np.uint64(1)
+    word = byte_words(data)
     live = np.flatnonzero(other >= 0)
+    a, b = places[live], other[live]
     while len(live):
-        a, b = places[live] + size[live], other[live] + size[live]
-        on = np.ones(len(live), bool)
-        for j in range(8):
-            x, y = wide[np.minimum(a + j, n)], wide[np.minimum(b + j, n)]
-            on &= (x == y) & (x > 0)
-            size[live] += on
-        live = live[on]
-    full = np.zeros(n, np.int64)
-    index = np.maximum.accumulate(np.where(~same, at, 0))
-    value = np.zeros(n, np.int64)
-    value[places] = size
-    full = np.maximum(value[index] - (at - index), 0)
-    return full[sa]
+        unlike = word[a] ^ word[b]
+        # rounds to no higher power of two, so the exponent is the place of the first bit that differs
+        top = (unlike & ~(unlike >> np.uint64(1))).astype(np.float64)
+        some = np.minimum((1086 - (top.view(np.int64) >> 52)) >> 3, 8)
+        size[live] += some
+        on = (some == 8) & (np.maximum(a, b) + 8 < n)
+        live, a, b = live[on], a[on] + 8, b[on] + 8
+    size = np.minimum(size, n - np.maximum(places, other))  # zeros behind the end are no bytes
+    full = np.repeat(places + size, np.diff(np.append(places, n))) - np.arange(n)
+    return np.maximum(full, 0)[sa]
 
 
 def string_classes(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +235,7 @@ def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray,
 def _row_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the anchors that lie in one row, taken in pieces to bound the memory."""
     places, hashes = [], []
-    step = 1 << 20
+    step = STEP
     for at in range(0, max(1, len(data)), step):
         lo, hi = max(0, at - 2 * LENGTH), min(len(data), at + step + 2 * LENGTH)
         h, p = anchors(data[lo:hi])
@@ -235,6 +265,14 @@ def _without(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, copies: pa.
     return ids[keep], data[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])])
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (numpy's own hashes them first, which takes longer)."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
 def _within(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Which values are in a sorted table."""
     if not len(table):
@@ -260,12 +298,12 @@ def _shared_anchors(rows: DataFrame, copies: str, buckets: int, folder: str) ->
                 p, h = _row_anchors(data, offsets)
                 _, key = _key(h, buckets)
                 doc = ids[np.searchsorted(offsets, p, side="right") - 1]
-                order = np.lexsort((doc, key))
+                order = np.argsort(key)
                 key, doc = key[order], doc[order]
                 new = np.ones(len(key), bool)
                 new[1:] = key[1:] != key[:-1]
                 begin = np.flatnonzero(new)
-                many = doc[begin] != doc[np.append(begin[1:], len(key)) - 1] if len(key) else np.zeros(0, bool)
+                many = np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin) if len(key) else np.zeros(0, bool)
                 key = key[begin]
                 if many.any():
                     out.append((2, 0, label, key[many].tobytes()))
@@ -291,7 +329,7 @@ def _shared_anchors(rows: DataFrame, copies: str, buckets: int, folder: str) ->
         size = np.diff(np.append(begin, len(key)))
         back = np.repeat(size > 1, size) & (kind == 0)
         bucket = np.uint64(group.column("bucket")[0].as_py()) << np.uint64(32)
-        found = [(int(x), np.unique(key[back & (label == x)]).astype(np.uint64) | bucket) for x in np.unique(label[back])]
+        found = [(int(x), _distinct(key[back & (label == x)]).astype(np.uint64) | bucket) for x in _distinct(label[back])]
         return pa.table({"label": pa.array([x for x, _ in found], pa.int64()), "keys": pa.array([k.tobytes() for _, k in found], pa.binary())})
 
     told = seen.where("kind < 2").groupBy("bucket").applyInArrow(shared, "label long, keys binary")
@@ -324,10 +362,11 @@ def shard_result(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, shared:
     at = np.concatenate([[0], np.cumsum(lens)])
     source = np.repeat(begin - at[:-1], lens) + np.arange(at[-1])
     text = data[source]
+    home = np.repeat(np.searchsorted(offsets, begin, side="right") - 1, lens)  # the row of each place
     valid = np.arange(at[-1]) + LENGTH <= np.repeat(at[1:], lens)
     # the anchor of each window: of its least hash, which every copy of the window has at the same place
     window_hash = np.zeros(at[-1], np.uint64)
-    step = 1 << 20
+    step = STEP
     for a in range(0, at[-1], step):
         part = text[a : min(at[-1], a + step + LENGTH)]
         if len(part) >= LENGTH:
@@ -343,8 +382,7 @@ def shard_result(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, shared:
     if not valid.any():
         return (none, none, none), (none, none, none, none), none, data[:0]
     pos, group = string_classes(text, valid)
-    owner = np.searchsorted(offsets, source[pos], side="right") - 1
-    doc = ids[owner]
+    doc = ids[home[pos]]
     new = np.ones(len(pos), bool)
     new[1:] = group[1:] != group[:-1]
     first = np.repeat(np.minimum.reduceat(doc, np.flatnonzero(new)), np.diff(np.append(np.flatnonzero(new), len(pos))))
@@ -353,16 +391,14 @@ def shard_result(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, shared:
     region = np.zeros(len(text), bool)
     region[at[:-1]] = True
     a, b = _runs(later, region)
-    where = source[a]
-    r = np.searchsorted(offsets, where, side="right") - 1
+    where, r = source[a], home[a]
     covered = (r, where - offsets[r], source[b - 1] + LENGTH - offsets[r])
     stays = np.zeros(len(text), bool)
     stays[pos[doc == first]] = True
     change = region.copy()
     change[1:] |= bucket[1:] != bucket[:-1]
     a, b = _runs(stays, change)
-    where = source[a]
-    r = np.searchsorted(offsets, where, side="right") - 1
+    where, r = source[a], home[a]
     return covered, (bucket[a].astype(np.int64), r, where - offsets[r], source[b - 1] + LENGTH - offsets[r]), a, text
 
 
@@ -384,7 +420,7 @@ def _within_shards(rows: DataFrame, copies: str, keys: str, buckets: int) -> Dat
                 if held[0] != label:
                     found = known.get(label)
                     blobs = [np.frombuffer(x.as_buffer(), np.uint64) for x in found.column(0)] if found is not None else []
-                    held = (label, np.unique(np.concatenate(blobs)) if blobs else np.zeros(0, np.uint64))
+                    held = (label, _distinct(np.concatenate(blobs)) if blobs else np.zeros(0, np.uint64))
                 ids, data, offsets = _without(*part, lists.get(label))
                 (r, lo, hi), (bucket, row, start, end), at, text = shard_result(ids, data, offsets, held[1], buckets)
                 out = [(0, 0, label, *(x.tobytes() for x in (ids[r], lo.astype(np.int32), hi.astype(np.int32))), b"")] if len(r) else []
@@ -404,10 +440,12 @@ def _within_shards(rows: DataFrame, copies: str, keys: str, buckets: int) -> Dat
 
 def _words(data: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Strings of LENGTH bytes as rows of big-endian words, in the same order as the bytes."""
-    count = -(-LENGTH // 8)
-    out = np.zeros((len(pos), count), np.uint64)
-    for j in range(LENGTH):
-        out[:, j // 8] |= data[pos + j].astype(np.uint64) << np.uint64(56 - 8 * (j % 8))
+    word = byte_words(data)
+    out = np.empty((len(pos), -(-LENGTH // 8)), np.uint64)
+    for j in range(out.shape[1]):
+        out[:, j] = word[pos + 8 * j]
+    if LENGTH % 8:
+        out[:, -1] &= ~np.uint64(0) << np.uint64(64 - 8 * (LENGTH % 8))
     return out
 
 

@@ -530,6 +530,27 @@ def test_suffix_array_and_prefixes():
         assert list(suffix_dedup.common_prefixes(d, sa)) == lcp
 
 
+def test_suffix_array_without_room_for_places(monkeypatch):
+    r = random.Random(12)
+    texts = [np.array([r.choice(some) for _ in range(n)], np.uint8) for some in ([0], [0, 1, 255], range(256)) for n in (2, 60, 700)]
+    whole = [suffix_dedup.suffix_array(d) for d in texts]
+    monkeypatch.setattr(suffix_dedup, "KEY_BITS", 12)
+    for d, sa in zip(texts, whole, strict=True):
+        assert list(suffix_dedup.suffix_array(d)) == list(sa) == sorted(range(len(d)), key=lambda i: bytes(d)[i:])
+
+
+def test_string_classes_sort_numbers_and_not_indices(monkeypatch):
+    """A sort of indices takes several times as long as one of numbers that hold the place; it is left to texts too long for that."""
+    r, sort, seen = random.Random(13), np.argsort, []
+    parts = [prose(r, 40) for _ in range(200)]
+    data = np.frombuffer(" ".join(parts + r.sample(parts, 50)).encode(), np.uint8)
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: seen.append(len(x)) or sort(x, *a, **k))
+    pos, group = suffix_dedup.string_classes(data, np.arange(len(data)) + 50 <= len(data))
+    assert sum(seen) == 0
+    strings = [data[p : p + 50].tobytes() for p in pos]
+    assert strings == sorted(strings) and list(group[1:] != group[:-1]) == [a != b for a, b in zip(strings, strings[1:], strict=False)]
+
+
 def test_units_merge_by_binary_search():
     r = random.Random(11)
     runs = [(prose(r, 12)[:55].ljust(55, "x").encode(), k) for k in range(12)] * 2
